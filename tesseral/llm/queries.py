@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import splitting
+from tesseral.llm import canonical, splitting
 from tesseral.sources.tables import table
 
 
@@ -22,8 +22,13 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece_index", "pieces", F.col("piece_start").alias("start_char"), F.col("piece_end").alias("end_char"), "section_hierarchy", F.col("piece_text").alias("text"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "mentions", "mention_id", "dimension_name", "category")
+    return canonical.found_entries(mentions, table(spark, sf_dir, "category_ref"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
