@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.functions.instants import parse_instant
+from tesseral.operators.lookup import join_back
 from tesseral.session import shared_dir
 from tesseral.sources.tables import table
 
 KEY = ["raw", "time_zone", "date_order"]
 DICTIONARY = "raw string, time_zone string, date_order string, n long, utc string"
-HOT_KEYS = 1000
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,14 +59,7 @@ def normalise_instants(df: DataFrame, raw: str, zone: str, order: str, ids: list
     rows = df.select(*ids, text.alias("raw"), F.coalesce(F.col(zone), F.lit("")).alias("time_zone"), F.coalesce(F.col(order), F.lit("")).alias("date_order"))
     rows = rows.where(F.col("raw").rlike(r"\d\D*\d") & ~F.col("raw").rlike(r"^\s*-?P[\dT]") & (F.char_length("raw") <= 200))
     known = instant_dictionary(rows, path)
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    named = known.where(F.col("utc").isNotNull())
-    hot = F.col("n") > max(total // HOT_KEYS, 1000)  # at most HOT_KEYS values
-    few, many = F.broadcast(known.where(hot).select(*KEY, "utc")), named.where(~hot).select(*KEY, "utc")
-    marked = rows.join(few.withColumn("hot", F.lit(True)), KEY, "left")
-    out = marked.where("hot and utc is not null").select(*ids, "utc")
-    rest = marked.where("hot is null").drop("hot", "utc").join(many, KEY).select(*ids, "utc")
-    return out.unionByName(rest).distinct()
+    return join_back(rows, known, KEY, ["utc"]).where("utc is not null").select(*ids, "utc").distinct()
 
 
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
