@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import canonical, splitting
+from tesseral.llm import canonical, names, splitting
 from tesseral.sources.tables import table
 
 
@@ -27,8 +27,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.found_entries(mentions, table(spark, sf_dir, "category_ref"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "mentions", "mention_id", "dimension_name", "text").where("dimension_name in ('person', 'organization')")
+    return names.linked_pairs(mentions.selectExpr("mention_id id", "dimension_name kind", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
