@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a context, where they don't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tesseral_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    folder = tempfile.mkdtemp(prefix="tesseral-code-")  # read by the driver only, which serves it to executors
+    path = os.path.join(folder, "tesseral_code.zip")
+    Path(path).write_bytes(data.getvalue())
+    sc.addPyFile(path)
+    sc._tesseral_shipped = True
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
