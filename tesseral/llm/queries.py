@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import canonical, names, splitting
+from tesseral.llm import canonical, language, names, splitting
 from tesseral.sources.tables import table
 
 
@@ -32,8 +32,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(mentions.selectExpr("mention_id id", "dimension_name kind", "text"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found_languages(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of all documents with language and confidence."""
+    return language.language_segments(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
