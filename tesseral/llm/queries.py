@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import canonical, language, names, splitting
+from tesseral.llm import canonical, encoding, language, names, packing, splitting
 from tesseral.sources.tables import table
 
 
@@ -32,6 +32,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(mentions.selectExpr("mention_id id", "dimension_name kind", "text"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(encoding.token_counts(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_containers(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.found_languages(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
 
@@ -42,7 +54,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
