@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesseral.operators.instants import p5_found
 from tesseral.operators.near import p4_found
+from tesseral.plans import oracle
+from tesseral.plans.core_queries import QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p5_found": p5_found}
+    return {"p4_found": p4_found, "p5_found": p5_found} | {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
