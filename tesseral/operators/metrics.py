@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesseral.functions import columns as C
@@ -66,10 +65,8 @@ def extraction_counts(predicted: DataFrame, truth: DataFrame, keys: list[str]) -
     The i-th copy of a value on one side matches the i-th copy on the other, which is what matching one to one in
     order gives, without a loop.
     """
-    w = W.partitionBy(*keys).orderBy(F.lit(0))
     count = lambda df, n: df.groupBy(*keys).agg(C.rows().alias(n))
-    del w
-    both = count(predicted, "p").join(count(truth, "t"), keys, "full").select(F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("t", F.lit(0)).alias("t"))
+    both = count(predicted, "__p").join(count(truth, "__t"), keys, "full").select(F.coalesce("__p", F.lit(0)).alias("p"), F.coalesce("__t", F.lit(0)).alias("t"))
     s = both.agg(F.coalesce(F.sum(F.least("p", "t")), F.lit(0)).alias("tp"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"))
     zero = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
     return s.select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), zero(F.try_divide("tp", "p")).alias("precision"), zero(F.try_divide("tp", "t")).alias("recall"), zero(F.try_divide(2 * F.col("tp"), F.col("p") + F.col("t"))).alias("f1"))
