@@ -69,19 +69,31 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and 300 not in got
 
 
-def test_density(spark):
-    rng = np.random.default_rng(3)
-    p = np.concatenate([rng.normal(0, 0.3, (30, 2)), rng.normal(5, 0.3, (30, 2)), [[20.0, 20.0], [0.0, 0.0], [0.0, 0.0]]])
-    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)] + [(999, None, 1.0)], "id long, x double, y double")
-    got = {r["key"]: r["cluster"] for r in clusters.density_clusters(df, "id", ["x", "y"], 0.6, 4).collect()}
-    near = np.linalg.norm(p[:, None] - p[None], axis=2) <= 0.6
-    core = [i for i in range(len(p)) if near[i].sum() >= 4]
+@pytest.mark.parametrize("least,dims,seed", [(2, 2, 1), (4, 2, 3), (4, 3, 5), (12, 2, 8)])
+def test_density(spark, least, dims, seed):
+    rng = np.random.default_rng(seed)
+    p = np.concatenate([rng.normal(0, 0.4, (60, dims)), rng.normal(5, 0.5, (60, dims)), rng.uniform(-3, 8, (60, dims)), np.full((4, dims), 20.0), np.zeros((2, dims))])
+    names = ["x", "y", "z"][:dims]
+    rows = [(i, *map(float, r)) for i, r in enumerate(p)] + [(999, None, *[1.0] * (dims - 1))]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r["key"]: r["cluster"] for r in clusters.density_clusters(df, "id", names, 0.6, least).collect()}
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 0.36
+    core = [i for i in range(len(p)) if near[i].sum() >= least]
     assert set(got) == {i for i in range(len(p)) if any(near[i][c] for c in core)}
+    root = {i: i for i in core}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
     for i in core:
         for j in core:
             if near[i][j]:
-                assert got[i] == got[j]
-    assert len(set(got.values())) == 2
+                root[find(i)] = find(j)
+    assert len({(got[i], find(i)) for i in core}) == len({got[i] for i in core}) == len({find(i) for i in core})
+    for i in set(got) - set(core):
+        assert got[i] in {got[c] for c in core if near[i][c]}
 
 
 def test_bursts(spark):
