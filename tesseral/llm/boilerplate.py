@@ -42,7 +42,7 @@ SHARE = r"^[\W_]*(?:share|tweet|print|email|e-mail|save|copy link|listen to (?:t
 PROMPT = r"become a member|unlimited access|\bsubscribe\b|subscription|\bsign up\b|newsletter|morning briefing|your (?:e-?mail|inbox)|donat|(?:weeks|months) free|kostenlos testen|abonnier|\babo\b|e-mail-adresse|morgenbrief|melden sie sich|abonnez|s'abonner|adresse (?:électronique|e-?mail)|recevez chaque|suscr[ií]b|correo electrónico|reciba cada|bolet[ií]n|assine|endereço de e-?mail|abonneer|mailadres|abbonati|iscriviti|indirizzo e-?mail|subskryb|adres e-?mail|подпи(?:шитесь|ска)|электронн\w+ почт|prenumerera|e-postadress"
 TEASER = r"^[\W_]*(?:read (?:also|more|next)|related|trending|most (?:read|popular)|you (?:may|might) also|more (?:from|on|stories)|recommended|editor'?s picks|latest (?:news|stories)|lesen sie auch|mehr (?:zum|aus|von)|meistgelesen|das könnte sie|auch interessant|à lire|sur le même sujet|les plus lus|vous aimerez|aussi sur|plus de|lea también|le puede interesar|lo más le[ií]do|(?:noticias|notas) relacionadas|más (?:de|sobre|noticias)|leia (?:também|mais)|mais lidas|lees ook|meest gelezen|meer (?:over|uit|van)|leggi anche|i più letti|potrebbe interessarti|czytaj (?:też|także|więcej)|najczęściej czytane|читайте также|самое читаемое|по теме|läs (?:också|även|mer)|mest läst)\b"
 COMMENT = r"^[\W_]*(?:\d[\d.,]* (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties|commenti|komentarz\w*|комментари\w*|kommentarer)\W*$|(?:no )?comments?\W*$|join the (?:conversation|discussion)|log ?in to|leave a (?:comment|reply)|report a (?:problem|mistake)|anmelden und|kommentar(?:e| schreiben)|connectez-vous|réagir|inicie sesión|deje (?:un|su) comentario|inloggen om|accedi per|zaloguj się|войдите|logga in för)"
-LEGAL = r"©|\(c\) \d{4}|^[\W_]*copyright \d|all rights reserved|\bcookies?\b|our \d+ partners|privacy (?:policy|settings)|terms of (?:use|service)|· (?:privacy|imprint)|without (?:written|prior) permission|back to top|manage preferences|accept all|reject (?:all|optional)|alle rechte vorbehalten|nachdruck nur|impressum|datenschutz|nach oben$|alle akzeptieren|einstellungen verwalten|tous droits réservés|mentions légales|reproduction (?:est )?interdite|haut de page|tout accepter|gérer mes préférences|continuer sans accepter|nos \d+ partenaires|todos los derechos|aviso legal|prohibida la reproducción|volver arriba|aceptar todo|configurar preferencias|todos os direitos|alle rechten voorbehouden|tutti i diritti|wszelkie prawa|все права|alla rättigheter"
+LEGAL = r"©|\(c\) \d{4}|^[\W_]*copyright \d|all rights reserved|(?:uses?|use of|using|accept|optional|necessary|all|set|store|this site'?s) cookies|cookies (?:and similar|to measure|to improve)|cookie (?:policy|settings|preferences|notice)|(?:einsatz|verwendung|nutzung) von cookies|(?:notwendige|alle|nutzt|verwendet) cookies|(?:dépôt|utilisation) de cookies|utilise des cookies|uso de cookies|(?:utiliza|usa|aceptar|solo) (?:las )?cookies|our \d+ partners|unsere \d+ partner|nuestros \d+ socios|privacy (?:policy|settings)|terms of (?:use|service)|· (?:privacy|imprint)|without (?:written|prior) permission|back to top|(?:change|withdraw) your (?:choices?|consent)|technologies are needed|auswahl können sie|diese technologien sind|modifier vos choix|ces technologies sont|cambiar (?:su|sus) \w+|estas tecnologías|manage preferences|accept all|reject (?:all|optional)|alle rechte vorbehalten|nachdruck nur|impressum|datenschutz|nach oben$|alle akzeptieren|einstellungen verwalten|tous droits réservés|mentions légales|reproduction (?:est )?interdite|haut de page|tout accepter|gérer mes préférences|continuer sans accepter|nos \d+ partenaires|todos los derechos|aviso legal|prohibida la reproducción|volver arriba|aceptar todo|configurar preferencias|todos os direitos|alle rechten voorbehouden|tutti i diritti|wszelkie prawa|все права|alla rättigheter"
 _ADVERT, _SHARE, _PROMPT, _TEASER, _COMMENT, _LEGAL = (re.compile(p) for p in (ADVERT, SHARE, PROMPT, TEASER, COMMENT, LEGAL))
 _HEADLINE = re.compile(r"^\W*\w+(?: \w+){1,3} (?:An?|The|Le|La|Les|L['’]|Un|Une|Der|Die|Das|Eine?|El|Los|Las|Una) ")
 _END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s+|$)")
@@ -115,7 +115,7 @@ class Line:
                 return "F"
         else:
             legal = sum(bool(_LEGAL.search(p.casefold()) or _PROMPT.search(p.casefold())) for p in self.parts)
-            if legal * 3 >= len(self.parts) and legal >= 1 and (legal >= 2 or len(self.parts) <= 3):
+            if legal >= 2 and legal * 2 >= len(self.parts):  # one such sentence may be an article's own
                 return "F"
         return "P" if self.count >= 2 or (len(self.text) >= 150 and self.count) else "S"
 
@@ -174,10 +174,12 @@ def _zones(lines: list[Line | None], title: str | None) -> Iterator[tuple[int, i
     never = lambda x: False
     top = headline(lines, title, never)
     last = last_paragraph(lines, top, never) if top is not None else -1
+    # what follows the last paragraph is still the article's until a line that words alone give away
+    end = next((i for i, x in enumerate(lines) if i > last and x and x.kind in "FRC"), len(lines)) if top is not None else 0
     for i, x in enumerate(lines):
         if x is None or i == top:
             continue
-        zone = AFTER if top is None else BEFORE if i < top else INSIDE if i <= last else AFTER
+        zone = AFTER if top is None else BEFORE if i < top else INSIDE if i < end else AFTER
         for p in x.paths:
             yield p, zone
 
