@@ -60,6 +60,16 @@ def ship(spark: SparkSession) -> None:
     sc._tesseral_shipped = True
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once no frame made of them is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
@@ -67,6 +77,6 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     the planning of what follows (so size checks before a broadcast are measured, not guessed).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

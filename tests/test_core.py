@@ -192,3 +192,12 @@ def test_strings():
     assert fold("Größe​ É") == "grosse e" and unleet("sp0kesperson") == "spokesperson" and unleet("2024") == "2024"
     assert abbreviates("rsrch", "research") and not abbreviates("xr", "research") and not abbreviates("research", "research")
     assert math.isclose(1, 1)
+
+
+def test_stage_tables_can_be_cleared(spark):
+    from tesseral.session import clear, materialise
+
+    df = materialise(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5
+    clear(spark)
+    assert materialise(spark.range(3).toDF("x"), "t").count() == 3
