@@ -99,9 +99,10 @@ def bursts(times: DataFrame, at: str = "ts", every: str = "1 day", sigmas: float
     counted = times.where(F.col(at).isNotNull()).groupBy(F.window(F.col(at).cast("timestamp"), every).alias("w")).agg(C.rows().alias("events")).select(F.col("w.start").alias("bin"), "events")
     span = counted.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr(f"interval {every}"))).alias("bin"))
     full = span.join(counted, "bin", "left").select("bin", F.coalesce("events", F.lit(0).cast("long")).alias("events"))
-    moments = full.agg(F.avg("events").alias("mean"), F.stddev_samp("events").alias("sd"))
-    # moments has one row
-    return full.join(F.broadcast(moments)).where(F.col("events") > F.col("mean") + sigmas * F.col("sd")).select(F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "events", F.round(F.col("mean") + sigmas * F.col("sd"), 6).alias("threshold"), F.round((F.col("events") - F.col("mean")) / F.col("sd"), 6).alias("intensity"))
+    m = full.agg(F.avg("events").alias("mean"), F.stddev_samp("events").alias("sd")).first()  # one row
+    mean, sd = F.lit(m["mean"]).cast("double"), F.lit(m["sd"]).cast("double")
+    limit = mean + F.lit(sigmas) * sd
+    return full.where(F.col("events") > limit).select(F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "events", F.round(limit, 6).alias("threshold"), F.round((F.col("events") - mean) / sd, 6).alias("intensity"))
 
 
 def flat_events(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -33,3 +33,12 @@ def anchor_dates(mentions: DataFrame, published: DataFrame) -> DataFrame:
     out = per.select("document_id", "chunk_index", F.last("d", ignorenulls=True).over(w).alias("d"))
     own = published.groupBy("document_id").agg(F.min(C.iso_date("date")).alias("own"))
     return out.join(own, "document_id", "left").select("document_id", "chunk_index", F.date_format(F.coalesce("d", "own"), "yyyy-MM-dd").alias("anchor"))
+
+
+def prompt_lines(memory_rows: DataFrame, last: int = 5) -> DataFrame:
+    """(document_id, chunk_index, prompt): the last references of each dimension as one text, dimensions in order."""
+    refs = F.split("refs", "; ")
+    shown = F.array_join(F.slice(refs, F.greatest(F.size(refs) - last + 1, F.lit(1)), last), ", ")
+    line = F.when(F.col("refs") != "", F.concat(F.col("dimension_name"), F.lit(": "), shown))
+    g = memory_rows.select("document_id", "chunk_index", F.struct("dimension_name", line.alias("line")).alias("l")).groupBy("document_id", "chunk_index")
+    return g.agg(F.array_sort(F.collect_list("l")).alias("ls")).select("document_id", "chunk_index", F.array_join(F.array_compact(F.transform("ls", lambda x: x["line"])), "\n").alias("prompt"))

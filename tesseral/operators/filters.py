@@ -110,3 +110,16 @@ def validate_categories(mentions: DataFrame, reference: DataFrame, strict: bool
     confidence = F.coalesce("category_confidence", F.lit(1.0))
     out = rows.withColumn("status", status).select("mention_id", F.coalesce("__c", F.lit("unknown")).alias("category"), F.round(F.when(F.col("status") == "exact", confidence).when(F.col("status") == "corrected", confidence * 0.9).otherwise(0.0), 6).alias("category_confidence"), "status")
     return out.where("status <> 'invalid'") if strict else out
+
+
+def passing_scores(entities: DataFrame, relevance: float = 0.7, accuracy: float = 0.7, consistency: float = 0.6, with_context: bool = False) -> DataFrame:
+    """Entities (relevance, accuracy, consistency) that reach the thresholds; a missing score counts as 1."""
+    score = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    ok = (score("relevance") >= relevance) & (score("accuracy") >= accuracy)
+    return entities.where(ok & (score("consistency") >= consistency) if with_context else ok)
+
+
+def of_schema(mentions: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Mentions of the given dimensions, names in their normal form, blank texts left out."""
+    wanted = [d.strip().lower().replace(" ", "_") for d in dimensions]
+    return mentions.where(C.snake("dimension_name").isin(*wanted) & (F.trim("text") != ""))

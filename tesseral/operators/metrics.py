@@ -105,3 +105,21 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def overhead(baseline_s: float, instrumented_s: float) -> float:
     return max(0.0, (instrumented_s - baseline_s) / baseline_s * 100) if baseline_s else 0.0
+
+
+def improvement(baseline: DataFrame, other: DataFrame, measures: list[str]) -> DataFrame:
+    """(measure, baseline, other, change, percent) of two one-row summaries; percent is null from a baseline of 0."""
+    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias(name)) for m in measures])).alias("x")).select("x.*")
+    both = long(baseline, "baseline").join(long(other, "other"), "measure")
+    change = F.col("other") - F.col("baseline")
+    return both.select("measure", "baseline", "other", F.round(change, 6).alias("change"), F.round(100 * F.try_divide(change, F.abs("baseline")), 4).alias("percent"))
+
+
+def rolled_up(rows: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Counters by group and in total, in one pass: precision, recall and F1 of tp, fp and fn where they are among the sums."""
+    g = rows.rollup(*by).agg(*[F.sum(s).alias(s) for s in sums])
+    if {"tp", "fp", "fn"} <= set(sums):
+        zero = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        g = g.withColumns({"precision": zero(F.try_divide(tp, tp + fp)), "recall": zero(F.try_divide(tp, tp + fn)), "f1": zero(F.try_divide(2 * tp, 2 * tp + fp + fn))})
+    return g

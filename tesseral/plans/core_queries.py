@@ -268,6 +268,26 @@ def context_memory(s, d):
     return context.memory(mentions(s, d, "mention_id", "doc_id", "document_id", "dimension_name", "text"))
 
 
+def prompt_lines(s, d):
+    return context.prompt_lines(context_memory(s, d))
+
+
+def confidence_rollup(s, d):
+    """Mentions of confidence 0.8 or more against all, by dimension and in total."""
+    m = mentions(s, d, "dimension_name", "confidence").where("confidence is not null")
+    rows = m.select("dimension_name", (F.col("confidence") >= 0.8).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), (F.col("confidence") < 0.8).cast("long").alias("fn"))
+    return metrics.rolled_up(rows, ["dimension_name"], ["tp", "fp", "fn"])
+
+
+def schema_mentions(s, d):
+    return filters.of_schema(mentions(s, d, "mention_id", "dimension_name", "text"), ["Temporal", "spatial"]).distinct()
+
+
+def latency_improvement(s, d):
+    t = table(s, d, "timings", "total_duration_seconds", "gpu_hours", "num_gpus")
+    return metrics.improvement(metrics.latency(t.where("num_gpus = 1")), metrics.latency(t.where("num_gpus > 1")), ["p50", "p95", "mean"])
+
+
 def anchor_dates(s, d):
     return context.anchor_dates(mentions(s, d).dropDuplicates(["mention_id"]), table(s, d, "parsed_documents", "document_id", "date"))
 
@@ -444,7 +464,7 @@ QUERIES = [
     temporal_ids, temporal_range_ids, bbox_ids, radius_ids, any_ids, all_ids, and_ids, or_ids, filter_stats, dimension_postings, hierarchical_ids, dimension_top, available_keys, category_validation,
     temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, global_stats, document_summary, burst_days, burst_hours,
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
-    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, anchor_dates,
+    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
     keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,

@@ -135,6 +135,9 @@ SQL: dict[str, str] = {
     "context_memory": rf"WITH m AS (SELECT DISTINCT document_id, dimension_name, {_CHUNK} AS i, mention_id, text FROM mentions WHERE doc_id IS NOT NULL AND document_id IS NOT NULL AND text IS NOT NULL AND {_CHUNK} <> ''), n AS (SELECT document_id, dimension_name, i::INT AS chunk_index, mention_id, text FROM m), k AS (SELECT DISTINCT document_id, dimension_name, chunk_index FROM n), r AS (SELECT k.*, n.text, row_number() OVER (PARTITION BY k.document_id, k.dimension_name, k.chunk_index ORDER BY n.chunk_index DESC, n.mention_id DESC, n.text DESC) AS r FROM k JOIN n ON n.document_id = k.document_id AND n.dimension_name = k.dimension_name AND n.chunk_index < k.chunk_index), s AS (SELECT document_id, dimension_name, chunk_index, count(*) AS seen, string_agg(text, '; ' ORDER BY r DESC) FILTER (r <= 10) AS refs FROM r GROUP BY ALL) SELECT k.document_id, k.dimension_name, k.chunk_index, coalesce(seen, 0) AS seen, coalesce(refs, '') AS refs FROM k LEFT JOIN s USING (document_id, dimension_name, chunk_index)",
     "anchor_dates": rf"WITH m AS (SELECT DISTINCT document_id, {_CHUNK} AS i, mention_id, CASE WHEN dimension_name = 'temporal' THEN {_DATE.format(c='normalized')} END AS d FROM mentions WHERE doc_id IS NOT NULL AND document_id IS NOT NULL AND {_CHUNK} <> ''), k AS (SELECT DISTINCT document_id, i::INT AS chunk_index FROM m), r AS (SELECT k.document_id, k.chunk_index, arg_max(m.d, (m.i::INT, m.mention_id)) AS d FROM k JOIN m ON m.document_id = k.document_id AND m.i::INT < k.chunk_index AND m.d IS NOT NULL GROUP BY ALL), o AS (SELECT document_id, min({_DATE.format(c='date')}) AS own FROM parsed_documents GROUP BY 1) SELECT k.document_id, k.chunk_index, strftime(coalesce(r.d, o.own), '%Y-%m-%d') AS anchor FROM k LEFT JOIN r USING (document_id, chunk_index) LEFT JOIN o ON o.document_id = k.document_id",
     "keywords": "WITH w AS (SELECT doc_id, unnest(ws) AS keyword, generate_subscripts(ws, 1) AS pos FROM (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS ws FROM document_chunks WHERE text IS NOT NULL)), c AS (SELECT doc_id, keyword, count(*) AS n, min(pos) AS f FROM w WHERE keyword NOT IN ({stop}) GROUP BY ALL) SELECT doc_id, keyword, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f)::INT AS rank FROM c) WHERE rank <= 6",
+    "confidence_rollup": "SELECT dimension_name, tp, fp, fn, round(CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fn), 6) AS f1 FROM (SELECT dimension_name, count(*) FILTER (confidence >= 0.8) AS tp, 0::BIGINT AS fp, count(*) FILTER (confidence < 0.8) AS fn FROM mentions WHERE confidence IS NOT NULL GROUP BY ROLLUP (dimension_name))",
+    "schema_mentions": "SELECT DISTINCT mention_id, dimension_name, text FROM mentions WHERE dimension_name IN ('temporal', 'spatial') AND trim(text, ' ') <> ''",
+    "latency_improvement": "WITH l AS (SELECT num_gpus > 1 AS many, round(quantile_cont(total_duration_seconds * 1000, 0.5), 4) AS p50, round(quantile_cont(total_duration_seconds * 1000, 0.95), 4) AS p95, round(avg(total_duration_seconds * 1000), 4) AS mean FROM timings WHERE total_duration_seconds IS NOT NULL AND num_gpus >= 1 GROUP BY 1), u AS (SELECT a.many, unnest([{'m': 'p50', 'v': p50}, {'m': 'p95', 'v': p95}, {'m': 'mean', 'v': mean}]) AS x FROM l a) SELECT b.x.m AS measure, b.x.v AS baseline, o.x.v AS other, round(o.x.v - b.x.v, 6) AS change, round(100 * (o.x.v - b.x.v) / abs(b.x.v), 4) AS percent FROM u b JOIN u o ON b.x.m = o.x.m WHERE NOT b.many AND o.many",
     "distinct_entities": r"SELECT dimension, key, count(DISTINCT text) AS variants, count(*) AS mentions FROM (SELECT dimension_name AS dimension, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS key, text FROM mentions WHERE text IS NOT NULL) WHERE key <> '' GROUP BY ALL",
     "query_kinds": "SELECT DISTINCT title, regexp_replace(trim(regexp_replace('What happened in ' || title || ' during 2022??', '\\s+', ' ', 'g')), '\\?+$', '') AS query, 'temporal' AS kind, '2022' AS years FROM documents WHERE title IS NOT NULL",
     "input_ids": "SELECT 'text_' || substr(md5(text), 1, 12) AS document_id, min(CASE WHEN length(trim(text, ' ')) > 50 THEN substr(trim(text, ' '), 1, 50) || '...' ELSE trim(text, ' ') END) AS title, count(*) AS n FROM documents WHERE trim(text, ' ') <> '' GROUP BY 1",
