@@ -63,10 +63,18 @@ def test_islands_do_not_depend_on_ranges(spark, parts):
     assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len({want[i] for i in got})
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (300, 300)]
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = np.random.default_rng(seed)
+    chain = rng.permutation(60).tolist()
+    edges = [(chain[i], chain[i + 1]) for i in range(59)] + [(100, 101), (101, 102), (300, 300)] + [(int(a) + 400, int(b) + 400) for a, b in rng.integers(0, 60, (35, 2))]
     got = {r["node"]: r["component"] for r in clusters.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and 300 not in got
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    alone = {n for n in want if all(n not in e for e in edges if e[0] != e[1])}
+    assert got == {n: c for n, c in want.items() if n not in alone}
 
 
 @pytest.mark.parametrize("least,dims,seed", [(2, 2, 1), (4, 2, 3), (4, 3, 5), (12, 2, 8)])
