@@ -47,13 +47,19 @@ def label_code(label: str | None) -> str | None:
     return CODES.get(s) or CODES.get(m[1] if (m := re.fullmatch(r"([a-z]{2,3})[-_][a-z0-9]{2,4}(?:[-_][a-z0-9]+)*", s)) else "")
 
 
+_INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufe00-\\ufe0f\\ufeff]")
+_CODE = re.compile(r"[\d+=_|<>@#/\\]")
+_OTHER = re.compile(r"\W+")
+
+
 def alphabet_only(s: str) -> str:
     """Letters in lower case and single blanks; words with digits or other code signs in them are left out."""
-    s = unicodedata.normalize("NFC", s)
-    s = re.sub("[\\u00ad\\u200b-\\u200f\\u2060\\ufe00-\\ufe0f\\ufeff]", "", s).lower()
-    s = re.sub(r"[^\s]*\d[^\s]*|\S{28,}|\S*[+=_|<>@#/\\][^\s]*", " ", s)
-    s = re.sub(r"[^\w]+|_", " ", s)
-    return " ".join(s.split())
+    if not s.isascii():
+        s = _INVISIBLE.sub("", unicodedata.normalize("NFC", s))
+    words = s.lower().split()
+    if _CODE.search(s):
+        words = [w for w in words if not _CODE.search(w)]
+    return _OTHER.sub(" ", " ".join([w for w in words if len(w) < 28])).strip()
 
 
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»«)\]]*\s+|[^\S\n]*\n\s*|\s{2,}|\t")
@@ -104,64 +110,75 @@ def suffix_automaton(s: str) -> list[dict[str, int]]:
 
 
 class Model:
-    """The automata of all languages as one flat transition table."""
+    """The automata of all languages as one flat transition table.
+
+    A state is the place of its row in the table, so a step is one sum and one look-up.  Each row ends in a column
+    for signs the language doesn't have; -1 is no transition.
+    """
+
+    TOP = 0x3100  # code points from here on are one sign that no language has
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        chars = sorted({c for t in texts.values() for c in t})
-        self.codes = {c: i + 1 for i, c in enumerate(chars)}  # 0: a sign that no language has
-        self.local = np.full((len(self.langs), len(chars) + 1), -1, np.int32)
-        self.width = np.zeros(len(self.langs), np.int64)
-        self.offset = np.zeros(len(self.langs), np.int64)
+        chars = sorted({c for t in texts.values() for c in t if ord(c) < self.TOP})
+        self.codes = np.zeros(self.TOP + 1, np.int16)  # 0: a sign that no language has
+        for i, c in enumerate(chars):
+            self.codes[ord(c)] = i + 1
+        k = len(self.langs)
+        self.local = np.zeros((k, len(chars) + 1), np.int32)
+        self.root = np.zeros((k, len(chars) + 1), np.int32)  # the state after a first sign; the start where there is none
+        self.start = np.zeros(k, np.int32)
         tables, at = [], 0
-        for k, lang in enumerate(self.langs):
-            own = sorted(set(texts[lang]))
-            ids = {c: i for i, c in enumerate(own)}
-            for c, i in ids.items():
-                self.local[k, self.codes[c]] = i
+        for row, lang in enumerate(self.langs):
+            own = [c for c in sorted(set(texts[lang])) if ord(c) < self.TOP]
+            ids, width = {c: i for i, c in enumerate(own)}, len(own) + 1
             nexts = suffix_automaton(texts[lang])
-            t = np.full((len(nexts), max(1, len(own))), -1, np.int32)
-            for s, n in enumerate(nexts):
+            t = np.full((len(nexts), width), -1, np.int32)
+            for state, n in enumerate(nexts):
                 for c, to in n.items():
-                    t[s, ids[c]] = to
+                    if c in ids:
+                        t[state, ids[c]] = at + to * width
+            self.start[row], self.local[row], self.root[row] = at, width - 1, at
+            for c, i in ids.items():
+                code = self.codes[ord(c)]
+                self.local[row, code] = i
+                self.root[row, code] = t[0, i]
             tables.append(t.ravel())
-            self.width[k], self.offset[k] = t.shape[1], at
             at += t.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """The number of phrases of each text in each language, all parsed in step."""
         n, k = len(texts), len(self.langs)
+        out = np.zeros((n, k))
         if not n or not k:
-            return np.zeros((n, k))
+            return out
         lengths = np.fromiter(map(len, texts), np.int64, n)
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        out = np.zeros((n, k))
-        step = 3000
+        step = 2000
         for a in range(0, n, step):
             part, ls = order[a : a + step], lengths[a : a + step]
-            if not ls[0]:
+            longest = int(ls[0])
+            if not longest:
                 break
-            codes = np.zeros((len(part), int(ls[0])), np.int32)
-            get = self.codes.get
-            for row, i in enumerate(part):
-                codes[row, : ls[row]] = [get(c, 0) for c in texts[i]]
-            counts = np.zeros((k, len(part)))
-            states = np.zeros((k, len(part)), np.int64)
-            active = np.searchsorted(-ls, -np.arange(int(ls[0])), "left")  # rows longer than the position
-            w, o = self.width[:, None], self.offset[:, None]
-            for pos in range(int(ls[0])):
+            codes = np.zeros((longest, len(part)), np.int16)  # a row for each position
+            flat = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le"), np.uint32)
+            flat = self.codes[np.minimum(flat, self.TOP)]
+            column = np.repeat(np.arange(len(part)), ls)
+            codes[np.arange(len(flat)) - np.repeat(np.cumsum(ls) - ls, ls), column] = flat
+            active = np.searchsorted(-ls, -np.arange(longest), "left")  # texts longer than the position
+            counts = np.zeros((k, len(part)), np.int32)
+            states = np.repeat(self.start[:, None], len(part), axis=1)
+            for pos in range(longest):
                 m = active[pos]
-                c = self.local[:, codes[:m, pos]].astype(np.int64)
-                unknown = c < 0
-                c = np.where(unknown, 0, c)
-                to = np.where(unknown, -1, self.table[o + states[:, :m] * w + c])
+                code = codes[pos, :m]
+                now = states[:, :m]
+                to = self.table.take(now + self.local.take(code, axis=1))
                 ended = to < 0
-                again = np.where(unknown, -1, self.table[o + c])
                 counts[:, :m] += ended
-                states[:, :m] = np.where(ended, np.maximum(again, 0), to)
-            out[part] = (counts + (states != 0)).T
+                states[:, :m] = np.where(ended, self.root.take(code, axis=1), to)
+            out[part] = (counts + (states != self.start[:, None])).T
         return out
 
 
