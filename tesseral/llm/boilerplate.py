@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,18 @@ COMMENT = r"^[\W_]*(?:\d[\d.,]* (?:comments?|kommentare?|commentaires?|comentari
 LEGAL = r"©|\(c\) \d{4}|^[\W_]*copyright \d|all rights reserved|(?:uses?|use of|using|accept|optional|necessary|all|set|store|this site'?s) cookies|cookies (?:and similar|to measure|to improve)|cookie (?:policy|settings|preferences|notice)|(?:einsatz|verwendung|nutzung) von cookies|(?:notwendige|alle|nutzt|verwendet) cookies|(?:dépôt|utilisation) de cookies|utilise des cookies|uso de cookies|(?:utiliza|usa|aceptar|solo) (?:las )?cookies|our \d+ partners|unsere \d+ partner|nuestros \d+ socios|privacy (?:policy|settings)|terms of (?:use|service)|· (?:privacy|imprint)|without (?:written|prior) permission|back to top|(?:change|withdraw) your (?:choices?|consent)|technologies are needed|auswahl können sie|diese technologien sind|modifier vos choix|ces technologies sont|cambiar (?:su|sus) \w+|estas tecnologías|manage preferences|accept all|reject (?:all|optional)|alle rechte vorbehalten|nachdruck nur|impressum|datenschutz|nach oben$|alle akzeptieren|einstellungen verwalten|tous droits réservés|mentions légales|reproduction (?:est )?interdite|haut de page|tout accepter|gérer mes préférences|continuer sans accepter|nos \d+ partenaires|todos los derechos|aviso legal|prohibida la reproducción|volver arriba|aceptar todo|configurar preferencias|todos os direitos|alle rechten voorbehouden|tutti i diritti|wszelkie prawa|все права|alla rättigheter"
 _ADVERT, _SHARE, _PROMPT, _TEASER, _COMMENT, _LEGAL = (re.compile(p) for p in (ADVERT, SHARE, PROMPT, TEASER, COMMENT, LEGAL))
 _HEADLINE = re.compile(r"^\W*\w+(?: \w+){1,3} (?:An?|The|Le|La|Les|L['’]|Un|Une|Der|Die|Das|Eine?|El|Los|Las|Una) ")
+# A part of every wording of LEGAL and PROMPT; a text without any of them needs no closer look.
+STEMS = (
+    "© (c) copyright rights cookie partner partenaire privacy terms permission back preferences accept reject choice consent technologies auswahl technologien choix ces technolog cambiar tecnolog rechte nachdruck impressum datenschutz "
+    "nach oben akzeptier einstellungen droits mentions reproduc haut tout gérer continuer derechos aviso volver aceptar configurar direitos rechten diritti prawa права rättigheter socios "
+    "member unlimited subscri sign mail inbox donat free kostenlos abonn abo morgen melden adresse recevez suscr correo reciba bolet assine endereço adres iscriviti indirizzo subskryb подпи электронн prenumerera newsletter briefing utilis uso utiliza usa dépôt"
+).split()
+
+
+def _worded(low: str) -> bool:
+    return any(s in low for s in STEMS)
+
+
 _END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s+|$)")
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _MARK = re.compile(r"^(?:([•*\-–—·▪‣>»]+)|\(?(\d{1,3})[.)])\s+")
@@ -66,25 +79,25 @@ def sentences(line: str) -> list[str]:
     return out
 
 
+_NUMBER = re.compile(r"[$€£]?\d[\d.,]*")
+_SIGNS = re.compile(r"[^\w§]+")
+_NAMES = regex.compile(r"(?<=[\w§,;:'’)] )\p{Lu}[\w'’]*(?: \p{Lu}[\w'’]*)*")
+
+
 def path(text: str, site: str) -> int:
     """Hash of the generalised path of a line or sentence."""
     m = _MARK.match(text)
     mark, rest = (("*" if m[1] else "#"), text[m.end() :]) if m else ("", text)
-    if site:
+    if site and site in rest:
         rest = rest.replace(site, "§")
-    words = [("9" if w[0].isdigit() or w[:1] in "$€£" else "X" if i and w[0].isupper() else w.casefold()) for i, w in enumerate(re.findall(r"[\w§$€£]+(?:[.,'’]\w+)*", rest))]
-    out: list[str] = []
-    for w in words:
-        if not (w == "X" and out and out[-1] == "X"):
-            out.append(w)
-    h = xxhash.xxh64_intdigest(mark + " ".join(out))
+    h = xxhash.xxh64_intdigest(mark + _SIGNS.sub(" ", _NUMBER.sub("9", _NAMES.sub("X", rest))).strip().casefold())
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
 class Line:
     """What is known of one non-blank line by itself."""
 
-    __slots__ = ("text", "low", "parts", "paths", "kind", "count", "words")
+    __slots__ = ("text", "low", "parts", "site", "kind", "count", "words", "_paths")
 
     def __init__(self, raw: str, site: str):
         self.text = plain(raw)
@@ -92,9 +105,21 @@ class Line:
         self.parts = sentences(self.text)
         self.count = len(self.parts) if self.parts and _END.search(self.parts[-1] + "") else max(0, len(self.parts) - 1)
         self.words = len(re.findall(r"\w+", self.text))
-        self.paths = [path(self.text, site)] + ([path(p, site) for p in self.parts] if len(self.parts) > 1 else [])
+        self.site = site
+        self._paths: list[int] = []
         self.kind = self._kind(site)
 
+    def path(self, i: int) -> int:
+        """The path of the line (0) or of its i-th sentence, made when first asked for."""
+        while len(self._paths) <= i:
+            n = len(self._paths)
+            self._paths.append(path(self.parts[n - 1] if n else self.text, self.site))
+        return self._paths[i]
+
+    @property
+    def paths(self) -> list[int]:
+        return [self.path(i) for i in range(len(self.parts) + 1 if len(self.parts) > 1 else 1)]
+
     def _kind(self, site: str) -> str:
         """F furniture, A notice, share line or prompt, R heading of teasers, C comments, P paragraph, S other."""
         low = self.low
@@ -109,19 +134,34 @@ class Line:
                     return "C"
                 if _TEASER.search(low) and self.words <= 8 and not low.endswith((".", "!")):
                     return "R" if self.words <= 7 and not _HEADLINE.search(self.text) else "A"
-                if _ADVERT.search(low) or _SHARE.search(low) or (_PROMPT.search(low) and self.words <= 20):
+                if _ADVERT.search(low) or _SHARE.search(low) or (_worded(low) and _PROMPT.search(low) and self.words <= 20):
                     return "A"
-            if _LEGAL.search(low):
+            if _worded(low) and _LEGAL.search(low):
                 return "F"
-        else:
+        elif _worded(low):
             legal = sum(bool(_LEGAL.search(p.casefold()) or _PROMPT.search(p.casefold())) for p in self.parts)
             if legal >= 2 and legal * 2 >= len(self.parts):  # one such sentence may be an article's own
                 return "F"
         return "P" if self.count >= 2 or (len(self.text) >= 150 and self.count) else "S"
 
 
+_SEEN: dict[tuple[str, str], Line] = {}  # short lines come again and again on a host's pages
+_MOST_SEEN = 50_000
+
+
+def _line(raw: str, site: str) -> Line:
+    if len(raw) > 120:
+        return Line(raw, site)
+    x = _SEEN.get((raw, site))
+    if x is None:
+        if len(_SEEN) >= _MOST_SEEN:
+            _SEEN.clear()
+        x = _SEEN[raw, site] = Line(raw, site)
+    return x
+
+
 def parse(content: str, site: str) -> list[Line | None]:
-    return [Line(x, site) if x.strip() else None for x in content.split("\n")]
+    return [_line(x, site) if x.strip() else None for x in content.split("\n")]
 
 
 def headline(lines: list[Line | None], title: str | None, won: Callable[[Line], bool]) -> int | None:
@@ -211,8 +251,18 @@ def _won(paths: set, host: dict, name: str | None) -> Callable[[Line], bool]:
     own = host.get(name, frozenset())
 
     def won(x: Line) -> bool:
-        hit = [p in paths or p in own for p in x.paths]
-        return hit[0] or (len(hit) > 1 and sum(hit[1:]) * 2 > len(hit) - 1)
+        p = x.path(0)
+        if p in paths or p in own:
+            return True
+        n, missed = len(x.parts), 0
+        if n < 2:
+            return False
+        for i in range(1, n + 1):  # more than half of the sentences, given up as soon as they can't be
+            p = x.path(i)
+            missed += p not in paths and p not in own
+            if missed * 2 >= n:
+                return False
+        return True
 
     return won
 
