@@ -219,6 +219,13 @@ def _is_sign(c: str) -> bool:
 def _segments(text: str, spans: list[tuple[int, int]], cost: np.ndarray, worded: list[bool], langs: list[str]):
     """The cheapest path over the sentences: (start, end, language, confidence) of each run."""
     n, k = cost.shape
+    said = cost[cost.any(axis=1)]
+    if not len(said):  # codes only
+        return [(len(text) - len(text.lstrip()), len(text), "und", 1.0)]
+    if (said.argmin(axis=1) == said[0].argmin()).all():  # one language wins every sentence
+        start, sums = len(text) - len(text.lstrip()), np.sort(cost.sum(axis=0))
+        sure = 1.0 if k == 1 else float(1 - sums[0] / max(sums[1], 1e-9))
+        return [(start, len(text), langs[int(cost.sum(axis=0).argmin())], round(max(0.0, sure), 4))]
     total, back = cost[0].copy(), np.zeros((n, k), np.int32)
     for i in range(1, n):
         best = int(total.argmin())
