@@ -97,7 +97,7 @@ def path(text: str, site: str) -> int:
 class Line:
     """What is known of one non-blank line by itself."""
 
-    __slots__ = ("text", "low", "parts", "site", "kind", "count", "words", "_paths")
+    __slots__ = ("text", "low", "parts", "site", "kind", "count", "words", "trail", "_paths")
 
     def __init__(self, raw: str, site: str):
         self.text = plain(raw)
@@ -105,6 +105,7 @@ class Line:
         self.parts = sentences(self.text)
         self.count = len(self.parts) if self.parts and _END.search(self.parts[-1] + "") else max(0, len(self.parts) - 1)
         self.words = len(re.findall(r"\w+", self.text))
+        self.trail = bool(_TRAIL.search(raw.strip()))  # a menu or breadcrumb in one line
         self.site = site
         self._paths: list[int] = []
         self.kind = self._kind(site)
@@ -174,7 +175,7 @@ def headline(lines: list[Line | None], title: str | None, won: Callable[[Line],
     for i, x in enumerate(lines):
         if x is not None and x.kind in "RC":
             return None  # teasers and comments come after an article, if there is one
-        if x is None or x.kind in "FA" or won(x) or _MARK.match(x.text) or _TRAIL.search(x.text) or x.words < 4:
+        if x is None or x.kind in "FA" or won(x) or _MARK.match(x.text) or x.trail or x.words < 4:
             continue
         after = [y for y in lines[i + 1 : i + 16] if y is not None and y.kind in "PS" and not won(y)]
         if x.kind == "P" or any(y.kind == "P" for y in after) or sum(y.count > 0 and y.words >= 6 for y in after) >= 2:
