@@ -40,7 +40,7 @@ BEFORE, INSIDE, AFTER = 0, 1, 2
 # How sites word advertising, sharing, prompts, teasers, comments and legal notes, by language.
 ADVERT = r"^[\W_]*(?:advertis|sponsor|promot(?:ed|ion)|anzeige\b|werbung|gesponsert|publicit|contenu sponsoris|publicidad|anuncio|contenido patrocinado|advertentie|reclame|pubblicit|reklam|реклам|annons|publieditorial)|(?:story|article|page) continues|continue reading|nach der werbung|après cette annonce|tras el anuncio|lees verder onder|continua (?:dopo|após)"
 SHARE = r"^[\W_]*(?:share|tweet|print|email|e-mail|save|copy link|listen to (?:this|the)|teilen|artikel (?:teilen|anhören)|drucken|merken|vorlesen|partager|imprimer|écouter|comparte|compartir|imprimir|escuch|partilh|compartilh|ouvir|delen|afdrukken|luister|condividi|stampa|ascolta|udostępnij|drukuj|posłuchaj|поделиться|распечатать|dela\b|skriv ut|lyssna)\b|^[\W_]*\d[\d.,]* ?k? ?(?:shares?|mal geteilt|partages?|veces compartido|partilhas|keer gedeeld|condivisioni|udostępnień|репост\w*|delningar)\W*$"
-PROMPT = r"become a member|unlimited access|\bsubscribe\b|subscription|\bsign up\b|newsletter|morning briefing|your (?:e-?mail|inbox)|donat|(?:weeks|months) free|kostenlos testen|abonnier|\babo\b|e-mail-adresse|morgenbrief|melden sie sich|abonnez|s'abonner|adresse (?:électronique|e-?mail)|recevez chaque|suscr[ií]b|correo electrónico|reciba cada|bolet[ií]n|assine|endereço de e-?mail|abonneer|mailadres|abbonati|iscriviti|indirizzo e-?mail|subskryb|adres e-?mail|подпи(?:шитесь|ска)|электронн\w+ почт|prenumerera|e-postadress"
+PROMPT = r"become a member|unlimited access|\bsubscribe\b|subscription|\bsign up\b|newsletter|morning briefing|your (?:e-?mail|inbox)|donat|(?:weeks|months) free|kostenlos testen|abonnier|e-mail-adresse|morgenbrief|melden sie sich|abonnez|s'abonner|adresse (?:électronique|e-?mail)|recevez chaque|suscr[ií]b|correo electrónico|reciba cada|bolet[ií]n|assine|endereço de e-?mail|abonneer|mailadres|abbonati|iscriviti|indirizzo e-?mail|subskryb|adres e-?mail|подпи(?:шитесь|ска)|электронн\w+ почт|prenumerera|e-postadress"
 TEASER = r"^[\W_]*(?:read (?:also|more|next)|related|trending|most (?:read|popular)|you (?:may|might) also|more (?:from|on|stories)|recommended|editor'?s picks|latest (?:news|stories)|lesen sie auch|mehr (?:zum|aus|von)|meistgelesen|das könnte sie|auch interessant|à lire|sur le même sujet|les plus lus|vous aimerez|aussi sur|plus de|lea también|le puede interesar|lo más le[ií]do|(?:noticias|notas) relacionadas|más (?:de|sobre|noticias)|leia (?:também|mais)|mais lidas|lees ook|meest gelezen|meer (?:over|uit|van)|leggi anche|i più letti|potrebbe interessarti|czytaj (?:też|także|więcej)|najczęściej czytane|читайте также|самое читаемое|по теме|läs (?:också|även|mer)|mest läst)\b"
 COMMENT = r"^[\W_]*(?:\d[\d.,]* (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties|commenti|komentarz\w*|комментари\w*|kommentarer)\W*$|(?:no )?comments?\W*$|join the (?:conversation|discussion)|log ?in to|leave a (?:comment|reply)|report a (?:problem|mistake)|anmelden und|kommentar(?:e| schreiben)|connectez-vous|réagir|inicie sesión|deje (?:un|su) comentario|inloggen om|accedi per|zaloguj się|войдите|logga in för)"
 LEGAL = r"©|\(c\) \d{4}|^[\W_]*copyright \d|all rights reserved|(?:uses?|use of|using|accept|optional|necessary|all|set|store|this site'?s) cookies|cookies (?:and similar|to measure|to improve)|cookie (?:policy|settings|preferences|notice)|(?:einsatz|verwendung|nutzung) von cookies|(?:notwendige|alle|nutzt|verwendet) cookies|(?:dépôt|utilisation) de cookies|utilise des cookies|uso de cookies|(?:utiliza|usa|aceptar|solo) (?:las )?cookies|our \d+ partners|unsere \d+ partner|nuestros \d+ socios|privacy (?:policy|settings)|terms of (?:use|service)|· (?:privacy|imprint)|without (?:written|prior) permission|back to top|(?:change|withdraw) your (?:choices?|consent)|technologies are needed|auswahl können sie|diese technologien sind|modifier vos choix|ces technologies sont|cambiar (?:su|sus) \w+|estas tecnologías|manage preferences|accept all|reject (?:all|optional)|alle rechte vorbehalten|nachdruck nur|impressum|datenschutz|nach oben$|alle akzeptieren|einstellungen verwalten|tous droits réservés|mentions légales|reproduction (?:est )?interdite|haut de page|tout accepter|gérer mes préférences|continuer sans accepter|nos \d+ partenaires|todos los derechos|aviso legal|prohibida la reproducción|volver arriba|aceptar todo|configurar preferencias|todos os direitos|alle rechten voorbehouden|tutti i diritti|wszelkie prawa|все права|alla rättigheter"
@@ -48,10 +48,11 @@ _ADVERT, _SHARE, _PROMPT, _TEASER, _COMMENT, _LEGAL = (re.compile(p) for p in (A
 _HEADLINE = re.compile(r"^\W*\w+(?: \w+){1,3} (?:An?|The|Le|La|Les|L['’]|Un|Une|Der|Die|Das|Eine?|El|Los|Las|Una) ")
 # A part of every wording of LEGAL and PROMPT; a text without any of them needs no closer look.
 STEMS = (
-    "© (c) copyright rights cookie partner partenaire privacy terms permission back preferences accept reject choice consent technologies auswahl technologien choix ces technolog cambiar tecnolog rechte nachdruck impressum datenschutz "
-    "nach oben akzeptier einstellungen droits mentions reproduc haut tout gérer continuer derechos aviso volver aceptar configurar direitos rechten diritti prawa права rättigheter socios "
-    "member unlimited subscri sign mail inbox donat free kostenlos abonn abo morgen melden adresse recevez suscr correo reciba bolet assine endereço adres iscriviti indirizzo subskryb подпи электронн prenumerera newsletter briefing utilis uso utiliza usa dépôt"
-).split()
+    "©,(c) ,copyright,rights reserved,cookie,partner,partenaire,privacy,terms of,permission,back to top,preferences,accept all,reject all,reject optional,your choice,your consent,technologies,auswahl,technologien,"
+    "vos choix,tecnolog,cambiar,rechte vorbehalten,nachdruck,impressum,datenschutz,nach oben,akzeptieren,einstellungen,droits réservés,mentions légales,reproduc,haut de page,tout accepter,gérer mes,continuer sans,"
+    "derechos,aviso legal,volver arriba,aceptar,configurar,direitos,rechten voorbehouden,diritti,prawa,права,rättigheter,socios,become a member,unlimited access,subscri,sign up,mail,inbox,donat,weeks free,months free,"
+    "kostenlos,abonn,morgenbrief,melden sie sich,adresse électronique,recevez chaque,suscr,correo electr,reciba cada,bolet,assine,abbonati,iscriviti,subskryb,подпи,электронн,prenumerera,postadress,newsletter,morning briefing"
+).split(",")
 
 
 def _worded(low: str) -> bool:

@@ -137,7 +137,9 @@ def token_classes(forms: DataFrame) -> DataFrame:
     may = ~F.col("a.anchor") & ((F.col("b.anchor") & (F.col("a.df") <= 25)) | (F.col("b.df") >= 3 * F.col("a.df")) | (weak & (rank("b") > rank("a"))))
     near = (F.abs(F.col("a.at") - F.col("b.at")) <= 1) & (F.abs(F.length("a.w") - F.length("b.w")) <= 1)
     on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.g") == F.col("b.g")) & near & (F.col("a.w") != F.col("b.w")) & may & (F.length("b.w") >= 4)
-    pairs = a.join(b, on).select(F.col("a.kind").alias("kind"), F.col("a.w").alias("w"), F.col("b.w").alias("other"), F.col("b.df").alias("odf"), F.col("b.anchor").alias("oa")).distinct()
+    pairs = a.join(b, on).select(F.col("a.kind").alias("kind"), F.col("a.w").alias("w"), F.col("b.w").alias("other"), F.col("b.df").alias("odf"), F.col("b.anchor").alias("oa"))
+    # a swap is two plain edits: what lies beyond two is dropped in the JVM, before pairs are made distinct
+    pairs = pairs.where(F.levenshtein("w", "other", 2) >= 0).distinct()
 
     def verify(batches):
         for x in batches:
