@@ -92,13 +92,13 @@ def path(text: str, site: str) -> int:
     if site and site in rest:
         rest = rest.replace(site, "§")
     h = xxhash.xxh64_intdigest(mark + _SIGNS.sub(" ", _NUMBER.sub("9", _NAMES.sub("X", rest))).strip().casefold())
-    return h - (1 << 64) if h >= 1 << 63 else h
+    return h >> 4  # 60 bits: a zone fits beside it in a long
 
 
 class Line:
     """What is known of one non-blank line by itself."""
 
-    __slots__ = ("text", "low", "parts", "site", "kind", "count", "words", "trail", "_paths")
+    __slots__ = ("text", "low", "parts", "site", "kind", "count", "words", "trail", "mark", "n", "_paths")
 
     def __init__(self, raw: str, site: str):
         self.text = plain(raw)
@@ -106,6 +106,8 @@ class Line:
         self.parts = sentences(self.text)
         self.count = len(self.parts) if self.parts and _END.search(self.parts[-1] + "") else max(0, len(self.parts) - 1)
         self.words = len(re.findall(r"\w+", self.text))
+        self.mark = bool(_MARK.match(self.text))
+        self.n = len(self.parts)
         self.trail = bool(_TRAIL.search(raw.strip()))  # a menu or breadcrumb in one line
         self.site = site
         self._paths: list[int] = []
@@ -166,17 +168,38 @@ def parse(content: str, site: str) -> list[Line | None]:
     return [_line(x, site) if x.strip() else None for x in content.split("\n")]
 
 
-def headline(lines: list[Line | None], title: str | None, won: Callable[[Line], bool]) -> int | None:
-    """The line of the headline: the title if the page has it, else the first plain line that an article follows."""
+class Stored:
+    """A line as the first walk left it: what the second one needs, without its text."""
+
+    __slots__ = ("kind", "count", "words", "trail", "mark", "n", "paths")
+
+    def __init__(self, kind: str, flags: int, n: int, paths: list[int]):
+        self.kind, self.n, self.paths = kind, n, paths
+        self.count, self.words = flags & 1, 6 if flags & 4 else 4 if flags & 2 else 0
+        self.trail, self.mark = flags & 8, flags & 16
+
+    def path(self, i: int) -> int:
+        return self.paths[i]
+
+
+def title_line(lines: list[Line | None], title: str | None) -> int:
+    """The first line that is the page's title; -1 if none is."""
     want = plain(title).casefold() if title else ""
     if want:
         for i, x in enumerate(lines):
             if x and x.low == want:
                 return i
+    return -1
+
+
+def headline(lines: list, title_at: int, won: Callable) -> int | None:
+    """The line of the headline: the title if the page has it, else the first plain line that an article follows."""
+    if title_at >= 0:
+        return title_at
     for i, x in enumerate(lines):
         if x is not None and x.kind in "RC":
             return None  # teasers and comments come after an article, if there is one
-        if x is None or x.kind in "FA" or won(x) or _MARK.match(x.text) or x.trail or x.words < 4:
+        if x is None or x.kind in "FA" or x.mark or x.trail or x.words < 4 or won(x):
             continue
         after = [y for y in lines[i + 1 : i + 16] if y is not None and y.kind in "PS" and not won(y)]
         if x.kind == "P" or any(y.kind == "P" for y in after) or sum(y.count > 0 and y.words >= 6 for y in after) >= 2:
@@ -184,16 +207,16 @@ def headline(lines: list[Line | None], title: str | None, won: Callable[[Line],
     return None
 
 
-def last_paragraph(lines: list[Line | None], top: int, won: Callable[[Line], bool]) -> int:
+def last_paragraph(lines: list, top: int, won: Callable) -> int:
     """The last paragraph of several sentences before the teasers and comments."""
     end = next((i for i, x in enumerate(lines) if i > top and x and x.kind in "RC"), len(lines))
     return max((i for i, x in enumerate(lines) if top < i < end and x and x.kind == "P" and not won(x)), default=top)
 
 
-def furniture(lines: list[Line | None], title: str | None, won: Callable[[Line], bool]) -> list[int]:
+def furniture(lines: list, title_at: int, won: Callable) -> list[int]:
     """The numbers of the lines that aren't main body."""
     there = [i for i, x in enumerate(lines) if x is not None]
-    top = headline(lines, title, won)
+    top = headline(lines, title_at, won)
     if top is None:
         return there
     last = last_paragraph(lines, top, won)
@@ -212,9 +235,9 @@ def furniture(lines: list[Line | None], title: str | None, won: Callable[[Line],
     return sorted(out)
 
 
-def _zones(lines: list[Line | None], title: str | None) -> Iterator[tuple[int, int]]:
+def _zones(lines: list[Line | None], title_at: int) -> Iterator[tuple[int, int]]:
     never = lambda x: False
-    top = headline(lines, title, never)
+    top = headline(lines, title_at, never)
     last = last_paragraph(lines, top, never) if top is not None else -1
     # what follows the last paragraph is still the article's until a line that words alone give away
     end = next((i for i, x in enumerate(lines) if i > last and x and x.kind in "FRC"), len(lines)) if top is not None else 0
@@ -226,22 +249,47 @@ def _zones(lines: list[Line | None], title: str | None) -> Iterator[tuple[int, i
             yield p, zone
 
 
-def consensus_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the winning paths, host null for those that win everywhere."""
+WALKED = "host string, title_at int, kinds string, flags array<int>, sizes array<int>, paths array<long>, votes array<long>"
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(keys: list[str]):
+    """The first walk over pages: each line's kind, flags and paths, and a vote (path and zone) for each distinct path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got: Counter = Counter()
+            rows = []
             for host, site, title, content in zip(b["host"], b["site"], b["title"], b["content"]):
-                seen = set(_zones(parse(content, site or ""), title))
-                got.update((host, p, z) for p, z in seen)
-            rows = [(h, p, z, n) for (h, p, z), n in got.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "zone", "n"])
+                lines = parse(content, site or "")
+                at = title_line(lines, title)
+                votes = list({p * 8 + z for p, z in _zones(lines, at)})
+                flags = [(x.count > 0) | (x.words >= 4) << 1 | (x.words >= 6) << 2 | x.trail << 3 | x.mark << 4 for x in lines if x]
+                paths = [x.paths for x in lines if x]
+                rows.append((host, at, "".join(x.kind if x else "." for x in lines), flags, [len(p) for p in paths], [p for ps in paths for p in ps], votes))
+            out = pd.DataFrame(rows, columns=["host", "title_at", "kinds", "flags", "sizes", "paths", "votes"], index=b.index)
+            yield pd.concat([b[keys], out], axis=1)
+
+    return run
+
+
+def _stored(kinds: str, flags, sizes, paths) -> list[Stored | None]:
+    out, k, at = [], 0, 0
+    flags, sizes, paths = (x.tolist() for x in (flags, sizes, paths))
+    for c in kinds:
+        if c == ".":
+            out.append(None)
+            continue
+        n = sizes[k]
+        out.append(Stored(c, flags[k], max(1, n - 1) if n > 1 else 1, paths[at : at + n]))
+        k, at = k + 1, at + n
+    return out
 
-    votes = pages.mapInPandas(count, "host string, path long, zone int, n long")
+
+def consensus_paths(walked: DataFrame) -> DataFrame:
+    """(host, path): the winning paths of walked pages, host null for those that win everywhere."""
+    votes = walked.select("host", F.explode("votes").alias("v")).groupBy("host", F.shiftright("v", 3).alias("path"), F.col("v").bitwiseAND(7).cast("int").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
     outside = F.sum(F.when(F.col("zone") != INSIDE, F.col("n")).otherwise(0))
     by_host = materialise(votes.groupBy("host", "path").agg(outside.alias("out"), F.sum("n").alias("all")), "votes")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = walked.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     far = F.col("out") >= OUTSIDE * F.col("all")
     local = by_host.join(sizes, "host").where(far & (F.col("out") >= F.greatest(F.lit(HOST_PAGES), HOST_SHARE * F.col("pages")))).select("host", "path")
     everywhere = by_host.groupBy("path").agg(F.sum("out").alias("out"), F.sum("all").alias("all"), F.count(F.lit(1)).alias("hosts"))
@@ -249,14 +297,14 @@ def consensus_paths(pages: DataFrame) -> DataFrame:
     return materialise(everywhere.unionByName(local.join(everywhere.select("path"), "path", "left_anti").select("host", "path")), "paths")
 
 
-def _won(paths: set, host: dict, name: str | None) -> Callable[[Line], bool]:
+def _won(paths: set, host: dict, name: str | None) -> Callable:
     own = host.get(name, frozenset())
 
-    def won(x: Line) -> bool:
+    def won(x) -> bool:
         p = x.path(0)
         if p in paths or p in own:
             return True
-        n, missed = len(x.parts), 0
+        n, missed = x.n, 0
         if n < 2:
             return False
         for i in range(1, n + 1):  # more than half of the sentences, given up as soon as they can't be
@@ -270,11 +318,23 @@ def _won(paths: set, host: dict, name: str | None) -> Callable[[Line], bool]:
 
 
 def furniture_lines(pages: DataFrame, keys: list[str], max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(keys..., line_no) for each line that isn't main body; pages: keys, host, site (its name), title, content."""
+    """(keys..., line_no) for each line that isn't main body; pages: keys, host, site (its name), title, content.
+
+    Pages are parsed once: the first walk leaves kinds, flags and paths of their lines in a stage table, which the
+    votes and the second walk read.
+    """
     spark = pages.sparkSession
     rows = pages.select(*keys, "host", "site", "title", "content").where(F.length(F.trim("content")) > 0)
-    winners = consensus_paths(rows)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields) + ", line_no long"
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    walked = materialise(rows.mapInPandas(_walk(keys), f"{own}, {WALKED}"), "walked")
+    winners = consensus_paths(walked)
+    schema = f"{own}, line_no long"
+    second = walked.select(*keys, "host", "title_at", "kinds", "flags", "sizes", "paths")
+
+    def found(b: pd.DataFrame, won_of: Callable) -> pd.DataFrame:
+        lines = [furniture(_stored(k, f, n, p), t, won_of(i)) for i, (t, k, f, n, p) in enumerate(zip(b["title_at"], b["kinds"], b["flags"], b["sizes"], b["paths"]))]
+        return b[keys].assign(line_no=lines).explode("line_no").dropna(subset=["line_no"]).astype({"line_no": "int64"})
+
     if winners.count() <= max_broadcast:
         table: dict = {}
         for r in winners.toLocalIterator():
@@ -284,28 +344,22 @@ def furniture_lines(pages: DataFrame, keys: list[str], max_broadcast: int = MAX_
         def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             everywhere, by_host = sent.value
             for b in batches:
-                found = [furniture(parse(c, s or ""), t, _won(everywhere, by_host, h)) for h, s, t, c in zip(b["host"], b["site"], b["title"], b["content"])]
-                yield b[keys].assign(line_no=found).explode("line_no").dropna(subset=["line_no"]).astype({"line_no": "int64"})
+                hosts = b["host"].tolist()
+                yield found(b, lambda i, hosts=hosts: _won(everywhere, by_host, hosts[i]))
 
-        return rows.mapInPandas(extract, schema).distinct()
+        return second.mapInPandas(extract, schema).distinct()
 
     # the paths of each page meet the winners in a shuffled join, and come back as the page's own short list
-    numbered = rows.withColumn("__row", F.xxhash64(*keys, "content"))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [sorted({p for x in parse(c, s or "") if x for p in x.paths}) for s, c in zip(b["site"], b["content"])]
-            yield b[["__row", "host"]].assign(path=found).explode("path").dropna(subset=["path"]).astype({"path": "int64"})
-
-    mine = numbered.mapInPandas(emit, "__row long, host string, path long").distinct()
+    numbered = second.withColumn("__row", F.xxhash64(*keys, "kinds", "paths"))
     both = winners.withColumnRenamed("host", "of")
+    mine = numbered.select("__row", "host", F.explode("paths").alias("path")).distinct()
     hits = mine.join(both, "path").where(F.col("of").isNull() | (F.col("of") == F.col("host"))).groupBy("__row").agg(F.collect_set("path").alias("won"))
     joined = numbered.join(hits, "__row", "left")
 
     def extract_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [furniture(parse(c, s or ""), t, _won(set(w) if w is not None else set(), {}, h)) for h, s, t, c, w in zip(b["host"], b["site"], b["title"], b["content"], b["won"])]
-            yield b[keys].assign(line_no=found).explode("line_no").dropna(subset=["line_no"]).astype({"line_no": "int64"})
+            won = [set(w.tolist()) if w is not None else set() for w in b["won"]]
+            yield found(b, lambda i, won=won: _won(won[i], {}, None))
 
     return joined.mapInPandas(extract_joined, schema).distinct()
 
