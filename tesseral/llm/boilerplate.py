@@ -23,6 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 import xxhash
@@ -55,8 +56,14 @@ STEMS = (
 ).split(",")
 
 
+_STEMS = ahocorasick.Automaton()
+for _s in STEMS:
+    _STEMS.add_word(_s, True)
+_STEMS.make_automaton()
+
+
 def _worded(low: str) -> bool:
-    return any(s in low for s in STEMS)
+    return next(_STEMS.iter(low), None) is not None
 
 
 _END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s+|$)")
@@ -66,6 +73,8 @@ _TRAIL = re.compile(r"\s(?:[|·•»›>/]|::)\s|\s{3,}")
 
 
 def plain(line: str) -> str:
+    if line.isascii():
+        return " ".join(line.split())
     return " ".join(_INVISIBLE.sub("", unicodedata.normalize("NFKC", line)).split())
 
 
