@@ -116,22 +116,21 @@ class Line:
         self.count = len(self.parts) if self.parts and _END.search(self.parts[-1] + "") else max(0, len(self.parts) - 1)
         self.words = len(re.findall(r"\w+", self.text))
         self.mark = bool(_MARK.match(self.text))
-        self.n = len(self.parts)
+        self.n = max(1, len(self.parts))
         self.trail = bool(_TRAIL.search(raw.strip()))  # a menu or breadcrumb in one line
         self.site = site
         self._paths: list[int] = []
         self.kind = self._kind(site)
 
     def path(self, i: int) -> int:
-        """The path of the line (0) or of its i-th sentence, made when first asked for."""
+        """The path of the i-th sentence, of a line of one sentence that of the line; made when first asked for."""
         while len(self._paths) <= i:
-            n = len(self._paths)
-            self._paths.append(path(self.parts[n - 1] if n else self.text, self.site))
+            self._paths.append(path(self.parts[len(self._paths)] if self.n > 1 else self.text, self.site))
         return self._paths[i]
 
     @property
     def paths(self) -> list[int]:
-        return [self.path(i) for i in range(len(self.parts) + 1 if len(self.parts) > 1 else 1)]
+        return [self.path(i) for i in range(self.n)]
 
     def _kind(self, site: str) -> str:
         """F furniture, A notice, share line or prompt, R heading of teasers, C comments, P paragraph, S other."""
@@ -288,7 +287,7 @@ def _stored(kinds: str, flags, sizes, paths) -> list[Stored | None]:
             out.append(None)
             continue
         n = sizes[k]
-        out.append(Stored(c, flags[k], max(1, n - 1) if n > 1 else 1, paths[at : at + n]))
+        out.append(Stored(c, flags[k], n, paths[at : at + n]))
         k, at = k + 1, at + n
     return out
 
@@ -310,13 +309,8 @@ def _won(paths: set, host: dict, name: str | None) -> Callable:
     own = host.get(name, frozenset())
 
     def won(x) -> bool:
-        p = x.path(0)
-        if p in paths or p in own:
-            return True
         n, missed = x.n, 0
-        if n < 2:
-            return False
-        for i in range(1, n + 1):  # more than half of the sentences, given up as soon as they can't be
+        for i in range(n):  # more than half of the sentences, given up as soon as they can't be
             p = x.path(i)
             missed += p not in paths and p not in own
             if missed * 2 >= n:
