@@ -207,8 +207,8 @@ def post_filter_top(s, d):
 
 
 def ivf_top(s, d):
-    v = _vectors(s, d)
-    return retrieval.InvertedFileIndex(v).search(_vector_queries(s, d), 10)
+    index, q = retrieval.InvertedFileIndex(_vectors(s, d)), _vector_queries(s, d)
+    return index.search(q, 10, index.probe_for(q, 10))
 
 
 TERM_QUERIES = [(1, "river flood warning"), (2, "measles cases confirmed by the hospital"), (3, "storm moved towards the levee")]
