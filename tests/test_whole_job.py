@@ -1,10 +1,15 @@
 """Queries against the whole of their tables, on small data."""
 
+import datetime as dt
+import itertools
 import os
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tesseral.operators import clusters
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -13,3 +18,31 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_inverted_file_recall_on_the_table(spark):
     found, exact = ({(r["query_id"], r["doc_id"]) for r in entry.queries()[n](spark, DATA).collect()} for n in ("ivf_top", "dense_top"))
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_stories_against_all_pairs(spark):
+    cols = "mention_id long, doc_id string, dimension_name string, text string, category string, normalized string"
+    rng = np.random.default_rng(4)
+    rows = [(i, f"c{rng.integers(30)}", "spatial", f"t{rng.integers(12)}", None, None) for i in range(60)]
+    rows += [(100 + i, f"c{rng.integers(30)}", "temporal", None, None, f"2022-{rng.integers(1, 5):02}-{rng.integers(1, 29):02}") for i in range(24)]
+    rows += [(200 + i, d, "spatial", "only this", None, None) for i, d in enumerate(("same1", "same2", "same3"))]
+    rows += [(300, "late1", "temporal", None, None, "2030-01-01"), (301, "late2", "temporal", None, None, "2030-01-07"), (302, "late3", "temporal", None, None, "2030-01-14")]
+    m = spark.createDataFrame(rows, cols)
+    sets, first = defaultdict(set), {}
+    for _, d, dim, t, _, n in rows:
+        sets[d] |= {f"{dim}:{t}"} if t else set()
+        if n:
+            first[d] = min(first.get(d, dt.date.max), dt.date.fromisoformat(n))
+    want = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        overlap = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+        days = abs((first[a] - first[b]).days) if a in first and b in first else None
+        score = 0.6 * overlap * (overlap >= 0.3) + (0.4 * max(0, 1 - days / 7) if days is not None else 0)
+        if score > 0:
+            want[a, b] = round(score, 6)
+    edges = clusters.story_edges(m)
+    assert {(r["a"], r["b"]): pytest.approx(r["score"], abs=1e-6) for r in edges.collect()} == want
+    assert want["late1", "late2"] and ("late2", "late3") not in want and want["same1", "same3"] == 0.6
+    arcs = clusters.story_arcs(edges, m).collect()
+    assert {"same1": 3, "late1": 2}.items() <= {r["component"]: r["chunks"] for r in arcs}.items()
+    assert sum(r["edges"] for r in arcs) == len(want) and sum(r["chunks"] for r in arcs) == len({x for e in want for x in e})
