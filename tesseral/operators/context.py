@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 from tesseral.functions import columns as C
 
 
-def memory(mentions: DataFrame, last: int = 10) -> DataFrame:
+def chunk_keys(rows: DataFrame) -> DataFrame:
+    """(document_id, chunk_index) of the chunks named by rows (doc_id, document_id)."""
+    index = F.regexp_extract("doc_id", r"_chunk_(\d+)$", 1)
+    return rows.where("doc_id is not null and document_id is not null").where(index != "").select("document_id", index.cast("int").alias("chunk_index")).distinct()
+
+
+def memory(mentions: DataFrame, last: int = 10, chunks: DataFrame | None = None) -> DataFrame:
     """(document_id, dimension_name, chunk_index, seen, refs): what chunks before this one left: the last mentions of each dimension.
 
     Mentions are folded into one array a chunk first; a chunk's frame then spans earlier chunks, never its own.
+    chunks: (doc_id, document_id) of all chunks; each has a row for every dimension of its document then, also where
+    it has no mention of its own.  Without it, rows are those of chunks that mention the dimension.
     """
     index = F.regexp_extract("doc_id", r"_chunk_(\d+)$", 1)
     m = mentions.where("doc_id is not null and document_id is not null and text is not null").where(index != "").select("document_id", "dimension_name", index.cast("int").alias("chunk_index"), "mention_id", "text").distinct()
     per = m.groupBy("document_id", "dimension_name", "chunk_index").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("mention_id", "text")))), 1, last).alias("own"), F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("document_id", "dimension_name").orderBy("chunk_index")
-    before = w.rowsBetween(-last, -1)  # `last` chunks hold at least `last` mentions, if there are as many
-    refs = F.slice(F.flatten(F.reverse(F.collect_list("own").over(before))), 1, last)
-    seen = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return per.select("document_id", "dimension_name", "chunk_index", seen.alias("seen"), F.array_join(F.transform(F.reverse(refs), lambda x: x["text"]), "; ").alias("refs"))
+    upto = w.rowsBetween(1 - last, 0)  # `last` chunks hold at least `last` mentions, if there are as many
+    left = per.select("document_id", "dimension_name", "chunk_index", F.slice(F.flatten(F.reverse(F.collect_list("own").over(upto))), 1, last).alias("left"), F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("total"))
+    if chunks is not None:
+        every = chunk_keys(chunks.select("doc_id", "document_id").unionByName(mentions.select("doc_id", "document_id")))
+        left = every.join(per.select("document_id", "dimension_name").distinct(), "document_id").join(left, ["document_id", "dimension_name", "chunk_index"], "left")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    refs = F.coalesce(F.last("left", ignorenulls=True).over(before), F.array().cast("array<struct<mention_id:bigint,text:string>>"))
+    seen = F.coalesce(F.last("total", ignorenulls=True).over(before), F.lit(0).cast("long"))
+    return left.select("document_id", "dimension_name", "chunk_index", seen.alias("seen"), F.array_join(F.transform(F.reverse(refs), lambda x: x["text"]), "; ").alias("refs"))
 
 
 def anchor_dates(mentions: DataFrame, published: DataFrame) -> DataFrame:

@@ -268,8 +268,15 @@ def context_memory(s, d):
     return context.memory(mentions(s, d, "mention_id", "doc_id", "document_id", "dimension_name", "text"))
 
 
+def context_memory_all(s, d):
+    """Memory of every chunk; context_memory has rows of chunks with mentions of the dimension only, as its SQL."""
+    return context.memory(mentions(s, d, "mention_id", "doc_id", "document_id", "dimension_name", "text"), chunks=table(s, d, "document_chunks", "doc_id", "document_id"))
+
+
 def prompt_lines(s, d):
-    return context.prompt_lines(context_memory(s, d))
+    every = context.chunk_keys(table(s, d, "document_chunks", "doc_id", "document_id").unionByName(mentions(s, d, "doc_id", "document_id")))
+    got = context.prompt_lines(context_memory_all(s, d))
+    return every.join(got, ["document_id", "chunk_index"], "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
 
 
 def confidence_rollup(s, d):
@@ -464,7 +471,7 @@ QUERIES = [
     temporal_ids, temporal_range_ids, bbox_ids, radius_ids, any_ids, all_ids, and_ids, or_ids, filter_stats, dimension_postings, hierarchical_ids, dimension_top, available_keys, category_validation,
     temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, global_stats, document_summary, burst_days, burst_hours,
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
-    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
+    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
     keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,

@@ -7,9 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tesseral.operators import clusters
+from tesseral.operators import clusters, context
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -46,3 +47,26 @@ def test_stories_against_all_pairs(spark):
     arcs = clusters.story_arcs(edges, m).collect()
     assert {"same1": 3, "late1": 2}.items() <= {r["component"]: r["chunks"] for r in arcs}.items()
     assert sum(r["edges"] for r in arcs) == len(want) and sum(r["chunks"] for r in arcs) == len({x for e in want for x in e})
+
+
+def test_memory_of_every_chunk(spark):
+    """Against chunks walked in order, as the reference updates its memory."""
+    chunks = [(f"{d}_chunk_{i}", d) for d, n in (("x", 15), ("y", 3), ("none", 2)) for i in range(n)]
+    said = [(1, "x", 0, "temporal", "t0"), (2, "x", 0, "spatial", "s0"), (3, "x", 2, "temporal", "t2"), (4, "y", 1, "person", "p1")] + [(10 + i, "x", 3 + i % 5, "temporal", f"u{i}") for i in range(20)]
+    m = spark.createDataFrame([(i, f"{d}_chunk_{c}", d, dim, t) for i, d, c, dim, t in said], "mention_id long, doc_id string, document_id string, dimension_name string, text string")
+    want = {}
+    for d, n in (("x", 15), ("y", 3)):
+        for dim in {s[3] for s in said if s[1] == d}:
+            kept, seen = [], 0
+            for c in range(n):
+                want[d, dim, c] = (seen, "; ".join(kept))
+                new = [t for _, *k, t in sorted(said) if k == [d, c, dim]]
+                kept, seen = (kept + new)[-10:], seen + len(new)
+    got = context.memory(m, chunks=spark.createDataFrame(chunks, "doc_id string, document_id string")).collect()
+    assert {(r["document_id"], r["dimension_name"], r["chunk_index"]): (r["seen"], r["refs"]) for r in got} == want
+
+
+def test_every_chunk_has_a_prompt(spark):
+    rows = entry.queries()["prompt_lines"](spark, DATA).select(F.concat_ws("_chunk_", "document_id", "chunk_index").alias("doc_id"), "prompt")
+    chunks = spark.read.parquet(f"{DATA}/document_chunks.parquet").select("doc_id").distinct()
+    assert chunks.join(rows, "doc_id", "left_anti").count() == 0 and rows.count() == rows.select("doc_id").distinct().count()
