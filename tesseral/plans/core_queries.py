@@ -109,6 +109,12 @@ def cross_dimensional(s, d):
     return analysis.cross_dimensional(mentions(s, d).where("dimension_name in ('event_type', 'disease', 'organization')"), F.lower(F.trim("category")))
 
 
+def cross_dimensional_all(s, d):
+    """All dimensions, by category, else text; cross_dimensional has three dimensions and categories only, as its SQL."""
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return analysis.cross_dimensional(mentions(s, d), F.coalesce(clean("category"), clean("text")))
+
+
 def global_stats(s, d):
     return analysis.global_statistics(mentions(s, d), table(s, d, "document_chunks"))
 
@@ -469,7 +475,7 @@ def input_ids(s, d):
 
 QUERIES = [
     temporal_ids, temporal_range_ids, bbox_ids, radius_ids, any_ids, all_ids, and_ids, or_ids, filter_stats, dimension_postings, hierarchical_ids, dimension_top, available_keys, category_validation,
-    temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, global_stats, document_summary, burst_days, burst_hours,
+    temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, cross_dimensional_all, global_stats, document_summary, burst_days, burst_hours,
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
     dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,

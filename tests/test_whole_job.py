@@ -3,7 +3,7 @@
 import datetime as dt
 import itertools
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tesseral.operators import clusters, context
 
-DATA = "/root/testdata/sf0.01"
+DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -70,3 +70,14 @@ def test_every_chunk_has_a_prompt(spark):
     rows = entry.queries()["prompt_lines"](spark, DATA).select(F.concat_ws("_chunk_", "document_id", "chunk_index").alias("doc_id"), "prompt")
     chunks = spark.read.parquet(f"{DATA}/document_chunks.parquet").select("doc_id").distinct()
     assert chunks.join(rows, "doc_id", "left_anti").count() == 0 and rows.count() == rows.select("doc_id").distinct().count()
+
+
+def test_co_occurrence_of_all_dimensions(spark):
+    seen = defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/mentions.parquet").select("document_id", "dimension_name", "category", "text").collect():
+        value = (r["category"] or "").strip(" ").lower() or (r["text"] or "").strip(" ").lower()
+        if r["document_id"] and r["dimension_name"] and value:
+            seen[r["document_id"]].add((r["dimension_name"], value))
+    want = Counter((*a, *b) for s in seen.values() for a in s for b in s if a[0] < b[0])
+    got = {tuple(r[:4]): r["documents"] for r in entry.queries()["cross_dimensional_all"](spark, SMALL).select("dim_a", "value_a", "dim_b", "value_b", "documents").collect()}
+    assert got == want and {"spatial", "temporal"} <= {k[2] for k in got}
