@@ -225,6 +225,24 @@ def _bm25(s, d):
     return retrieval.bm25(docs, s.createDataFrame(TERM_QUERIES, "query_id long, query string"))
 
 
+def _title_queries(s, d):
+    """(query_id, query): the titles of a twentieth of the documents, as the vectors of dense searches."""
+    return table(s, d, "documents", "doc_id", "title").where("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").cast("long").alias("query_id"), F.col("title").alias("query"))
+
+
+def _bm25_all(s, d):
+    return retrieval.bm25(table(s, d, "documents", "doc_id", "text"), _title_queries(s, d))
+
+
+def bm25_scores_all(s, d):
+    """Titles as queries; bm25_scores and bm25_top have the three phrases of their SQL."""
+    return _bm25_all(s, d)
+
+
+def bm25_top_all(s, d):
+    return retrieval.top_k(_bm25_all(s, d).withColumn("score", F.round("score", 4)), "query_id", "doc_id", "score", 10)
+
+
 def bm25_scores(s, d):
     return _bm25(s, d)
 
@@ -253,13 +271,12 @@ def boosted_top(s, d):
 
 
 def packed_context(s, d):
-    top = retrieval.top_k(_bm25(s, d).withColumn("score", F.round("score", 4)), "query_id", "doc_id", "score", 10)
+    top = bm25_top_all(s, d)
     return retrieval.pack_context(top.join(table(s, d, "documents", "doc_id", "text"), "doc_id"))
 
 
 def multi_hop(s, d):
-    docs = table(s, d, "documents", "doc_id", "text", "title")
-    return retrieval.multi_hop(docs, s.createDataFrame(TERM_QUERIES, "query_id long, query string"))
+    return retrieval.multi_hop(table(s, d, "documents", "doc_id", "text", "title"), _title_queries(s, d))
 
 
 def nearby_places(s, d):
@@ -477,7 +494,7 @@ QUERIES = [
     temporal_ids, temporal_range_ids, bbox_ids, radius_ids, any_ids, all_ids, and_ids, or_ids, filter_stats, dimension_postings, hierarchical_ids, dimension_top, available_keys, category_validation,
     temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, cross_dimensional_all, global_stats, document_summary, burst_days, burst_hours,
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
-    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
+    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
     keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,
