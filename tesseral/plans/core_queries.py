@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.functions import columns as C
-from tesseral.operators import analysis, clusters, context, discovery, filters, metrics, retrieval, text
+from tesseral.operators import analysis, clusters, context, discovery, filters, instants, metrics, retrieval, text
 from tesseral.sources.tables import table, utc_timestamps
 
 
@@ -425,6 +425,26 @@ def resolved_phrases(s, d):
     return rows.select("document_id", "phrase", C.resolve_relative("phrase", "anchor").alias("resolved"))
 
 
+def resolved_mentions(s, d):
+    """(mention_id, text, anchor, resolved) of all temporal mentions; dates in any notation serve as anchors."""
+    zones = table(s, d, "sources", "source", "time_zone", "date_order")
+
+    def dated(rows, column, key):
+        """rows with the column as an ISO value, where it names a date."""
+        other = rows.where(F.col(column).isNotNull() & C.iso_date(column).isNull()).join(zones, "source", "left")
+        utc = instants.normalise_instants(other, column, "time_zone", "date_order", [key]).groupBy(key).agg(F.min("utc").alias("utc"))
+        return rows.join(utc, key, "left").withColumn(column, F.when(C.iso_date(column).isNotNull(), F.col(column)).otherwise(F.col("utc"))).drop("utc")
+
+    m = mentions(s, d, "mention_id", "doc_id", "document_id", "dimension_name", "source", "text", "normalized").dropDuplicates(["mention_id"])
+    t = dated(m.where("dimension_name = 'temporal'"), "normalized", "mention_id")
+    pages = dated(table(s, d, "parsed_documents", "page_id", "document_id", "source", "date").distinct(), "date", "page_id").select("document_id", "date")
+    anchors = context.anchor_dates(t, pages)
+    own = pages.groupBy("document_id").agg(F.date_format(F.min(C.iso_date("date")), "yyyy-MM-dd").alias("own"))
+    rows = t.where("text is not null").withColumn("chunk_index", F.regexp_extract("doc_id", r"_chunk_(\d+)$", 1).try_cast("int")).join(anchors, ["document_id", "chunk_index"], "left").join(own, "document_id", "left")
+    rows = rows.withColumn("anchor", F.coalesce("anchor", "own"))
+    return rows.select("mention_id", "text", "anchor", C.resolve_relative("text", F.col("anchor").cast("date")).alias("resolved"))
+
+
 def time_parts(s, d):
     m = mentions(s, d).where("dimension_name = 'temporal'").select("mention_id", *C.time_parts("normalized")).distinct()
     return m.where("year is not null")
@@ -496,6 +516,6 @@ QUERIES = [
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
     dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
-    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
+    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,
 ]

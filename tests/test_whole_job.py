@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tesseral.functions import columns as C
 from tesseral.operators import clusters, context
 
 DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -100,3 +101,13 @@ def test_sparse_searches_take_the_titles(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
     for name in ("bm25_top_all", "packed_context", "multi_hop"):
         assert {r["query_id"] for r in entry.queries()[name](spark, SMALL).select("query_id").distinct().collect()} == {q for q, _ in want}
+
+
+def test_every_temporal_mention_is_resolved(spark):
+    m = spark.read.parquet(f"{DATA}/mentions.parquet").where("dimension_name = 'temporal' and text is not null").select("mention_id", "document_id").dropDuplicates(["mention_id"])
+    rows = {r["mention_id"]: r for r in entry.queries()["resolved_mentions"](spark, DATA).collect()}
+    assert rows.keys() == {r["mention_id"] for r in m.collect()}
+    weeks = [r for r in rows.values() if r["text"].strip().lower() == "last week" and r["anchor"]]
+    assert weeks and all(r["resolved"] == str(dt.date.fromisoformat(r["anchor"]) - dt.timedelta(7)) for r in weeks)
+    dates = spark.read.parquet(f"{DATA}/parsed_documents.parquet").where(C.iso_date("date").isNull() & F.col("date").rlike("[a-z] 20[0-9]{2}$")).select("document_id").distinct()
+    assert any(rows[r["mention_id"]]["anchor"] for r in m.join(dates, "document_id").collect())
