@@ -395,7 +395,7 @@ def keywords(s, d):
 
 
 def previews(s, d):
-    return table(s, d, "documents", "doc_id", "title").where("title is not null").select("doc_id", C.preview(F.concat("title", F.lit(". "), "title", F.lit("! More text follows."))).alias("preview"))
+    return table(s, d, "documents", "doc_id", "text").select("doc_id", C.preview("text").alias("preview"))
 
 
 def sliding_chunks(s, d):
@@ -463,6 +463,12 @@ def query_kinds(s, d):
     return q.select("title", C.clean_query("q").alias("query"), C.query_kind("q").alias("kind"), F.array_join(C.temporal_hints("q"), ",").alias("years"))
 
 
+def title_kinds(s, d):
+    """Titles as they are; query_kinds has them in the template of its SQL."""
+    t = table(s, d, "documents", "title").where("title is not null").distinct()
+    return t.select("title", C.clean_query("title").alias("query"), C.query_kind("title").alias("kind"), F.array_join(C.temporal_hints("title"), ",").alias("years"))
+
+
 def question_clusters(s, d):
     return discovery.cluster_profile(discovery.kmeans(_vectors(s, d)))
 
@@ -516,6 +522,6 @@ QUERIES = [
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
     dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
-    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, query_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
+    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, query_kinds, title_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,
 ]

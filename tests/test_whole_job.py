@@ -111,3 +111,18 @@ def test_every_temporal_mention_is_resolved(spark):
     assert weeks and all(r["resolved"] == str(dt.date.fromisoformat(r["anchor"]) - dt.timedelta(7)) for r in weeks)
     dates = spark.read.parquet(f"{DATA}/parsed_documents.parquet").where(C.iso_date("date").isNull() & F.col("date").rlike("[a-z] 20[0-9]{2}$")).select("document_id").distinct()
     assert any(rows[r["mention_id"]]["anchor"] for r in m.join(dates, "document_id").collect())
+
+
+def test_previews_are_of_the_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "title", "text").collect()
+    got = {r["doc_id"]: r["preview"] for r in entry.queries()["previews"](spark, SMALL).collect()}
+    assert got.keys() == {r["doc_id"] for r in docs}
+    long = [r for r in docs if r["text"] and re.fullmatch(r"\w[^.!?]{40}", r["text"][:41], re.S)]
+    assert long and all(got[r["doc_id"]][:41] == r["text"][:41] for r in long)
+    assert max(len(x or "") for x in got.values()) <= 203
+
+
+def test_titles_as_they_are(spark):
+    rows = entry.queries()["title_kinds"](spark, DATA).collect()
+    assert all(" ".join(r["title"].split()).rstrip("?") == " ".join(r["query"].split()) for r in rows)
+    assert len(rows) == len({r["title"] for r in rows}) and all(r["kind"] != "temporal" and not r["years"] for r in rows if re.fullmatch("[A-Za-z ,]+", r["title"]) and "when" not in r["title"].lower())
