@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -54,17 +55,24 @@ def ratio(a: str, b: str) -> float:
 def merged_schema(dimensions: DataFrame, least: float = 0.85) -> DataFrame:
     """(name, canonical, clusters) for (cluster, name): names alike are merged, greedily in the order of clusters and names.
 
-    The names of a schema are few: distinct names, not entities, are what the one group holds.
+    Greedy merging needs one group: it holds the distinct names, not entities.  Counts of characters bound the ratio,
+    so only names that can reach `least` are compared.
     """
     names = dimensions.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("cluster").alias("first"), F.countDistinct("cluster").alias("clusters"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", "name"])
-        chosen: list[str] = []
-        out = []
-        for n in pdf["name"]:
-            alike = next((c for c in chosen if ratio(c, n) >= least), None)
+        counts, size = np.zeros((len(pdf), 64), np.uint16), np.array([len(n.lower()) for n in pdf["name"]])
+        for i, n in enumerate(pdf["name"]):
+            np.add.at(counts[i], [ord(ch) % 64 for ch in n.lower()], 1)
+        chosen, at, out = [], np.zeros(len(pdf), np.int64), []
+        for i, n in enumerate(pdf["name"]):
+            some = at[: len(chosen)]
+            some = some[np.minimum(size[some], size[i]) * 2 >= least * (size[some] + size[i]) - 1e-9]
+            bound = 2 * np.minimum(counts[some], counts[i]).sum(1, dtype=np.int64) / np.maximum(1, size[some] + size[i])
+            alike = next((c for c in pdf["name"].to_numpy()[some[bound >= least - 1e-9]] if ratio(c, n) >= least), None)
             if alike is None:
+                at[len(chosen)] = i
                 chosen.append(n)
             out.append(alike or n)
         return pdf.assign(canonical=out)[["name", "canonical", "clusters"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesseral.functions import columns as C
@@ -457,6 +458,14 @@ def directions(s, d):
     return a.join(b, "to_id").select("place_id", "to_id", F.round(deg, 4).alias("bearing"), C.direction(deg).alias("direction"), F.round(C.haversine("la", "lo", "latitude", "longitude"), 4).alias("km"))
 
 
+def directions_all(s, d):
+    """From each place to the next; directions has every other place, as its SQL."""
+    g = table(s, d, "gazetteer", "place_id", "latitude", "longitude")
+    a = g.select((F.col("place_id") + 1).alias("to_id"), "place_id", F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    deg = C.bearing("la", "lo", "latitude", "longitude")
+    return a.join(g.withColumnRenamed("place_id", "to_id"), "to_id").select("place_id", "to_id", F.round(deg, 4).alias("bearing"), C.direction(deg).alias("direction"), F.round(C.haversine("la", "lo", "latitude", "longitude"), 4).alias("km"))
+
+
 def query_kinds(s, d):
     t = table(s, d, "documents", "title").where("title is not null").distinct()
     q = t.select("title", F.concat(F.lit("What happened in "), "title", F.lit(" during 2022??")).alias("q"))
@@ -484,10 +493,10 @@ def derived_dimensions(s, d):
 
 
 def merged_schema(s, d):
-    m = mentions(s, d, "source", "dimension_name", "category").where("category is not null")
-    names = table(s, d, "category_ref").select(F.explode(F.concat(F.array("category"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    del m
-    return discovery.merged_schema(names.withColumn("cluster", F.length("name").cast("long")))
+    """The categories of all mentions; a cluster is a source, in the order of names, mentions without one the first."""
+    m = mentions(s, d, "source", "category").where("category is not null").distinct()
+    sources = m.select("source").distinct().withColumn("cluster", F.row_number().over(W.orderBy(F.asc_nulls_first("source"))).cast("long"))  # a row a source
+    return discovery.merged_schema(m.join(F.broadcast(sources), m["source"].eqNullSafe(sources["source"])).select(F.col("category").alias("name"), "cluster"))
 
 
 def distinct_entities(s, d):
@@ -522,6 +531,6 @@ QUERIES = [
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
     dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
-    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, query_kinds, title_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
+    keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, directions_all, query_kinds, title_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,
 ]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesseral.functions import columns as C
-from tesseral.operators import clusters, context
+from tesseral.operators import clusters, context, discovery
 
 DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -126,3 +126,23 @@ def test_titles_as_they_are(spark):
     rows = entry.queries()["title_kinds"](spark, DATA).collect()
     assert all(" ".join(r["title"].split()).rstrip("?") == " ".join(r["query"].split()) for r in rows)
     assert len(rows) == len({r["title"] for r in rows}) and all(r["kind"] != "temporal" and not r["years"] for r in rows if re.fullmatch("[A-Za-z ,]+", r["title"]) and "when" not in r["title"].lower())
+
+
+def test_directions_from_every_place(spark):
+    ids = {r["place_id"] for r in spark.read.parquet(f"{SMALL}/gazetteer.parquet").select("place_id").collect()}
+    rows = {r["place_id"]: r for r in entry.queries()["directions_all"](spark, SMALL).collect()}
+    assert rows.keys() == {i for i in ids if i + 1 in ids}
+    known = {r["place_id"]: r for r in entry.queries()["directions"](spark, SMALL).collect()}
+    assert known and all(rows[i] == r for i, r in known.items())
+
+
+def test_schema_of_the_mentions(spark):
+    seen = defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/mentions.parquet").where("category is not null").select("source", "category").distinct().collect():
+        seen[r["category"].strip(" ").lower()].add(r["source"] or "")
+    order, chosen, want = {s: i for i, s in enumerate(sorted(set().union(*seen.values())))}, [], {}
+    for n in sorted(seen, key=lambda n: (min(order[s] for s in seen[n]), n)):
+        want[n] = next((c for c in chosen if discovery.ratio(c, n) >= 0.85), n)
+        chosen += [n] if want[n] == n else []
+    got = entry.queries()["merged_schema"](spark, SMALL).collect()
+    assert {r["name"]: r["canonical"] for r in got} == want and {r["name"]: r["clusters"] for r in got} == {n: len(x) for n, x in seen.items()}
