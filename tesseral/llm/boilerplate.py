@@ -99,42 +99,38 @@ def sentences(line: str) -> list[str]:
 
 _NUMBER = re.compile(r"[$€£]?\d[\d.,]*")
 _SIGNS = re.compile(r"[^\w§]+")
-_WORDS: dict[str, str] = {}  # words as they stand in a path; bounded
-_MOST_WORDS = 200_000
-NAME = "X"
+NAME = "\uf8ff"  # a private sign
 POINTERS = (">>", "»", "→")
+_MOST_WORDS = 200_000
 
 
-def _word(w: str) -> str:
-    """A word in a path: a sign for a capitalised one, else without marks, in lower case, numbers as 9."""
-    if len(_WORDS) >= _MOST_WORDS:
-        _WORDS.clear()
-    bare = w.lstrip("\"'“”«»‘’([¿¡")
-    out = NAME if bare[:1].isupper() else _SIGNS.sub(" ", _NUMBER.sub("9", w)).strip().casefold()
-    _WORDS[w] = out
-    return out
+class _Words(dict):
+    """Words as they stand in a path: a sign for a capitalised one, else without marks, in lower case, numbers as 9."""
+
+    def __init__(self, names: bool):
+        super().__init__()
+        self.names = names
+
+    def __missing__(self, w: str) -> str:
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        bare = w.lstrip("\"'“”«»‘’([¿¡")
+        out = self[w] = NAME if self.names and bare[:1].isupper() else _SIGNS.sub(" ", _NUMBER.sub("9", w)).strip().casefold()
+        return out
 
 
-def path_words(text: str, site: str) -> list[str]:
+_FIRST, _LATER = _Words(False), _Words(True)
+
+
+def path_text(text: str, site: str) -> str:
     """The generalised words of a line or sentence, its list mark first; the first word is never a name."""
     if site and site in text:
         text = text.replace(site, "§")
     m = _MARK.match(text)
-    ws = (text[m.end() :] if m else text).split(" ")
-    out = ["*" if m and m[1] else "#" if m else ""]
-    first = ws[0]
-    out.append(_WORDS.get("\0" + first) or _first(first))
-    for w in ws[1:]:
-        x = _WORDS.get(w)
-        if x is None:
-            x = _word(w)
-        if x and not (x is NAME and out[-1] is NAME):
-            out.append(x)
-    return out
-
-
-def _first(w: str) -> str:
-    out = _WORDS["\0" + w] = _SIGNS.sub(" ", _NUMBER.sub("9", w)).strip().casefold()
+    first, *rest = (text[m.end() :] if m else text).split(" ")
+    out = " ".join(["*" if m and m[1] else "#" if m else "", _FIRST[first], *[_LATER[w] for w in rest]])
+    while f"{NAME} {NAME}" in out:  # a name of several words is one
+        out = out.replace(f"{NAME} {NAME}", NAME)
     return out
 
 
@@ -144,7 +140,7 @@ def _hash(s: str) -> int:
 
 def path(text: str, site: str) -> int:
     """Hash of the generalised path of a line or sentence."""
-    return _hash(" ".join(path_words(text, site)))
+    return _hash(path_text(text, site))
 
 
 class Line:
@@ -169,10 +165,10 @@ class Line:
         if self.n > 1:
             self.paths = [path(x, site) for x in self.parts]
         else:
-            ws = path_words(self.text, site)
-            self.paths = [0 if pointer else _hash(" ".join(ws))]  # teasers within a text are known by their mark alone
+            whole = path_text(self.text, site)
+            self.paths = [0 if pointer else _hash(whole)]  # teasers within a text are known by their mark alone
             if not self.count:
-                own = [w for w in ws[1:] if w and w is not NAME]
+                own = [w for w in whole[1:].split() if w != NAME]
                 self.constant = len(own) >= 2 or "9" in own or self.kind in "FARC"
                 self.wording = _hash(_SIGNS.sub(" ", _NUMBER.sub("9", self.low.replace(site.casefold(), "§") if site else self.low)))
         self.joint = hash(tuple(self.paths))
@@ -327,8 +323,8 @@ def _walk(keys: list[str], prior: bool):
                 there = [x for x in lines if x]
                 flags = [(x.count > 0) | (x.words >= 4) << 1 | (x.words >= 6) << 2 | x.trail << 3 | x.mark << 4 | x.shape << 5 | x.constant << 6 for x in there]
                 kinds = "".join("." if not x else x.kind if prior else "P" if x.shape else "S" for x in lines)
-                # copies of an article have one title; pages without one don't vote on notes
-                name = _hash(plain(title).casefold()) if title and title.strip() else None
+                # copies and numbered parts of an article have one generalised title; pages without one don't vote on notes
+                name = path(plain(title), site or "") if title and title.strip() else None
                 notes = [] if name is None else [{"joint": j, "title": name} for j in dict.fromkeys(x.joint for x in there if x.shape and x.n > 1)]
                 rows.append((host, at, kinds, flags, [x.n for x in there], [p for x in there for p in x.paths], [x.joint for x in there], [x.wording for x in there], notes))
             out = pd.DataFrame(rows, columns=["host", "title_at", "kinds", "flags", "sizes", "paths", "joints", "wordings", "standing"], index=b.index)
@@ -479,7 +475,7 @@ def _extracted(pages: DataFrame, keys: list[str], max_broadcast: int, prior: boo
     Pages are parsed once: the first walk leaves kinds, flags and paths of their lines in a stage table, which the
     votes and the last walk read.
     """
-    rows = pages.select(*keys, "host", "site", "title", "content").where(F.length(F.trim("content")) > 0).distinct()
+    rows = pages.select(*keys, "host", "site", "title", "content").where(F.length(F.trim("content")) > 0)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
     if text:
         rows = rows.withColumn("kept", F.lit(True))

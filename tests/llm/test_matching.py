@@ -116,3 +116,26 @@ def test_automaton_accepts_exactly_the_substrings():
                 for ch in w:
                     state = t[state].get(ch, -1) if state >= 0 else -1
                 assert (state >= 0) == (w in subs)
+
+
+def test_votes_alone_find_most_furniture(spark):
+    """With the word lists off, consensus keeps over nine tenths of the lines and hardly an article line is lost."""
+    from tesseral.llm.queries import _pages
+
+    pages, keys = _pages(spark, "/root/testdata/sf0.1"), ["tbl", "document_id"]
+    full = {tuple(r) for r in boilerplate.furniture_lines(pages, keys).collect()}
+    votes = {tuple(r) for r in boilerplate.furniture_lines(pages, keys, prior=False).collect()}
+    assert len(full & votes) > 0.9 * len(full)
+    assert len(full & votes) > 0.99 * len(votes)
+
+
+def test_standing_note_and_syndicated_article(spark):
+    """A paragraph under many titles of a host is a note; the same article on many hosts stays an article."""
+    note = "This paper is made by a small team of editors. It is printed twice a week in the old mill."
+    story = "The river rose by two metres during the night. Crews closed the bridge before sunrise."
+    titles = ["Bridge closed after flood", "Mayor opens new school", "Farmers fear dry summer", "Ferry runs aground again", "Museum finds lost map", "Power fails in harbour"]
+    rows = [(f"n{i}", "a.example", "A", titles[i], f"{titles[i]}\nEvent {i} was seen by Mr {chr(65 + i)}ole. It was long and {'very ' * i}loud.\n{note}") for i in range(6)]
+    rows += [(f"s{i}", f"h{i}.example", "B", "River rises over the bridge", f"River rises over the bridge\n{story}\nThe water fell again. Nobody was hurt there.") for i in range(8)]
+    df = spark.createDataFrame(rows, "document_id string, host string, site string, title string, content string")
+    got = {tuple(r) for r in boilerplate.furniture_lines(df, ["document_id"], prior=False).collect()}
+    assert got == {(f"n{i}", 2) for i in range(6)}
