@@ -13,7 +13,7 @@ Method: a prefix-filtered set-similarity join on token q-grams, verified by soft
 4. Spellings of an entity are paired first and mentions joined to the pairs, so a text that a third of all
    mentions share costs no more than the pairs it really has.
 
-Defined results: null and blank texts, and texts without a token of three letters, link to nothing; initials
+Defined results: null and blank texts, and texts without a token of two letters, link to nothing; initials
 that fit two given names of a family link to nothing; repeated mentions count once.
 """
 
@@ -27,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.functions.strings import fold, osa, unleet
+from tesseral.operators.lookup import join_back
 from tesseral.session import materialise
 
+MAX_SQUARINGS = 20  # chains of a million variants
+HOT_FORM = 10_000  # mentions of a form that one bucket takes
 PREFIX = 5  # rarest grams of a token that any token within one edit must meet
+LEAST_TARGET = 4  # letters of a token that others may be variants of: within one edit of three letters lie other names
 AGREED = 0.6  # share of a name's weight that must agree with its entity
 # Given names and their short forms; a short form may stand for several names.
 GIVEN = """alexander alex sandy xander al|alexandra alex sandy sasha|andrew andy drew|anthony tony|barbara barb babs|benjamin ben benny|catherine cathy kate katie cat|charles charlie chuck chas|
@@ -86,7 +90,7 @@ def tokens(kind: str, text: str) -> tuple[list[str], list[str]]:
                 continue
             if len(low) == 1 or (len(low) <= 3 and w.isupper() and not shouted):
                 initials += list(low)
-            elif len(low) >= 3 or low in FORMAL:
+            elif len(low) >= 2:
                 words.append(low if low in FORMAL else low.replace("rn", "m"))  # "rn" and "m" look alike
         elif low in FILLERS:
             continue
@@ -131,12 +135,16 @@ def token_classes(forms: DataFrame) -> DataFrame:
     rarity = g.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("gdf"))
     g = g.join(rarity, ["kind", "g"]).groupBy("kind", "w", "df", "anchor").agg(F.slice(F.array_sort(F.collect_list(F.struct("gdf", "g", "at"))), 1, PREFIX).alias("p"))
     prefix = g.select("kind", "w", "df", "anchor", F.explode("p").alias("p")).select("kind", "w", "df", "anchor", "p.g", "p.at")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    # one edit moves what is behind it by the difference of lengths, and what is before it not at all: length and
+    # place are part of the key, so a gram that many tokens share isn't one group
+    size = F.length("w")
+    shifts = F.array(*[F.struct((size + n).alias("n"), (F.col("at") + m).alias("at")) for n, m in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
+    a = prefix.withColumn("to", F.explode(shifts)).select("kind", "w", "df", "anchor", "g", F.col("to.n").alias("n"), F.col("to.at").alias("at")).alias("a")
+    b = prefix.withColumn("n", size).where(size >= 3).alias("b")
     # a may be a variant of b: b is an anchor, or far more frequent, or a is rare and b precedes it
     weak, rank = F.col("a.df") <= 2, lambda x: F.struct(F.col(f"{x}.df"), F.col(f"{x}.w"))
-    may = ~F.col("a.anchor") & ((F.col("b.anchor") & (F.col("a.df") <= 25)) | (F.col("b.df") >= 3 * F.col("a.df")) | (weak & (rank("b") > rank("a"))))
-    near = (F.abs(F.col("a.at") - F.col("b.at")) <= 1) & (F.abs(F.length("a.w") - F.length("b.w")) <= 1)
-    on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.g") == F.col("b.g")) & near & (F.col("a.w") != F.col("b.w")) & may & (F.length("b.w") >= 4)
+    may = ~F.col("a.anchor") & ((F.col("b.anchor") & (F.col("b.df") >= F.col("a.df"))) | (F.col("b.df") >= 3 * F.col("a.df")) | (weak & (rank("b") > rank("a"))))
+    on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.w") != F.col("b.w")) & may & (F.length("b.w") >= LEAST_TARGET)
     pairs = a.join(b, on).select(F.col("a.kind").alias("kind"), F.col("a.w").alias("w"), F.col("b.w").alias("other"), F.col("b.df").alias("odf"), F.col("b.anchor").alias("oa"))
     # a swap is two plain edits: what lies beyond two is dropped in the JVM, before pairs are made distinct
     pairs = pairs.where(F.levenshtein("w", "other", 2) >= 0).distinct()
@@ -148,10 +156,14 @@ def token_classes(forms: DataFrame) -> DataFrame:
     close = pairs.mapInPandas(verify, "kind string, w string, other string, odf long, oa boolean")
     to = close.groupBy("kind", "w").agg(F.max(F.struct("oa", "odf", "other")).alias("m")).select("kind", "w", F.col("m.other").alias("to"))
     link = materialise(vocabulary.join(to, ["kind", "w"], "left").select("kind", "w", "df", F.coalesce("to", "w").alias("to")), "links")
-    for _ in range(2):  # a variant's variant: two squarings reach chains of four
+    for _ in range(MAX_SQUARINGS):  # a variant's variant: links lead to ever more frequent tokens, so chains end
         step = link.select("kind", F.col("w").alias("to"), F.col("to").alias("far"))
-        link = link.join(step, ["kind", "to"]).select("kind", "w", "df", F.col("far").alias("to"))
-    link = materialise(link, "links")
+        far = materialise(link.join(step, ["kind", "to"]).select("kind", "w", "df", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "links")
+        link = far.select("kind", "w", "df", "to")
+        if not far.where("moved").take(1):
+            break
+    else:
+        raise RuntimeError("links between variants do not end")
     soft = link.groupBy("kind", "to").agg(F.sum("df").alias("soft"))
     return link.join(soft, ["kind", "to"]).select("kind", "w", F.col("to").alias("class"), "soft")
 
@@ -166,8 +178,9 @@ def _describe(total: dict[str, int], met: dict[str, int]):
             for form, kind, initials, parts in zip(b["form"], b["kind"], b["initials"], b["parts"]):
                 parts = [(p["class"], int(p["soft"]), log1p(total[kind] / max(1, int(p["soft"])))) for p in parts]
                 known = FORMAL if kind == "person" else BODY_WORDS
-                if any(p[0] not in known and len(p[0]) > 3 for p in parts):  # short scraps beside a real name say nothing
-                    parts = [p for p in parts if p[0] in known or len(p[0]) > 3]
+                real = [p for p in parts if p[0] in known or len(p[0]) > 3]
+                if len(real) >= (2 if kind == "person" else 1) and any(p[0] not in known for p in real):  # short scraps beside a full name say nothing
+                    parts = real
                 rest = [p for p in parts if p[0] not in known] or parts
                 if not rest:
                     continue
@@ -184,7 +197,7 @@ def _describe(total: dict[str, int], met: dict[str, int]):
                         options = sorted(options, key=lambda f: (-met.get(f, 0), f[0] != said[0][0], f))
                     elif unknown:
                         said = unknown[0]
-                        options = [said[0]] if said[1] >= 3 else []
+                        options = [said[0]] if said[1] >= 3 or len(said[0]) <= 3 else []
                     else:
                         said, options = None, []
                     initial = said[0][0] if said else initials[0] if initials else ""
@@ -248,12 +261,37 @@ def name_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forms, _persons(described).unionByName(_bodies(described))
 
 
-def linked_pairs(mentions: DataFrame) -> DataFrame:
-    """(mention_a, mention_b): pairs of mentions (id, kind, text) that name one entity in different texts, each once."""
+def name_members(mentions: DataFrame) -> DataFrame:
+    """(mention_id, entity, links): a row for each mention with a name, its entity, and how many mentions name it otherwise.
+
+    Nothing is expanded into pairs: the links of a mention are the entity's mentions less those of its own text.
+    """
+    forms, entities = name_entities(mentions)
+    known = materialise(entities.join(forms.select("kind", "text", "form", "n"), "form"), "members")
+    total = known.groupBy("entity").agg(F.sum("n").alias("all"))
+    sized = known.join(total, "entity").select("kind", "text", "entity", (F.col("all") - F.col("n")).alias("links"), "n")
+    rows = mentions.where("text is not null").select("id", "kind", "text").distinct()
+    return join_back(rows, materialise(sized, "sized"), ["kind", "text"], ["entity", "links"]).select(F.col("id").alias("mention_id"), "entity", "links")
+
+
+def linked_pairs(mentions: DataFrame, hot: int = HOT_FORM) -> DataFrame:
+    """(mention_a, mention_b): pairs of mentions (id, kind, text) that name one entity in different texts, each once.
+
+    Forms of an entity are paired, then their mentions join the pairs; the mentions of a form with more than `hot` of
+    them are spread over buckets of that size, so a form that a third of all mentions share is no one task's.
+    """
     forms, entities = name_entities(mentions)
-    entities = materialise(entities, "entities")
+    buckets = forms.select("form", F.ceil(F.col("n") / hot).cast("int").alias("k"))
+    entities = materialise(entities.join(buckets, "form"), "entities")
     a, b = entities.alias("a"), entities.alias("b")
-    pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.form") < F.col("b.form"))).select(F.col("a.form").alias("fa"), F.col("b.form").alias("fb"))
-    ids = materialise(mentions.where("text is not null").select("id", "kind", "text").distinct().join(forms.select("kind", "text", "form"), ["kind", "text"]).select("id", "form"), "ids")
-    out = pairs.join(ids.select(F.col("id").alias("x"), F.col("form").alias("fa")), "fa").join(ids.select(F.col("id").alias("y"), F.col("form").alias("fb")), "fb")
+    pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.form") < F.col("b.form")))
+    split = lambda x, name: F.explode(F.sequence(F.lit(0), F.col(f"{x}.k") - 1)).alias(name)
+    pairs = pairs.select(F.col("a.form").alias("fa"), F.col("b.form").alias("fb"), split("a", "sa"), F.col("b.k").alias("kb"))
+    pairs = pairs.select("fa", "sa", "fb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("sb"))
+    rows = mentions.where("text is not null").select("id", "kind", "text").distinct()
+    known = materialise(forms.join(buckets, "form").select("kind", "text", "form", "k", "n"), "numbered")
+    ids = join_back(rows, known, ["kind", "text"], ["form", "k"]).select("id", "form", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("s"))
+    ids = materialise(ids, "ids")
+    out = pairs.join(ids.select(F.col("id").alias("x"), F.col("form").alias("fa"), F.col("s").alias("sa")), ["fa", "sa"])
+    out = out.join(ids.select(F.col("id").alias("y"), F.col("form").alias("fb"), F.col("s").alias("sb")), ["fb", "sb"])
     return out.select(F.least("x", "y").alias("mention_a"), F.greatest("x", "y").alias("mention_b")).where("mention_a < mention_b").distinct()

@@ -51,6 +51,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(mentions.selectExpr("mention_id id", "dimension_name kind", "text"))
 
 
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each named mention with its entity and the number of mentions linked to it; no pairs are listed."""
+    mentions = table(spark, sf_dir, "mentions", "mention_id", "dimension_name", "text").where("dimension_name in ('person', 'organization')")
+    return names.name_members(mentions.selectExpr("mention_id id", "dimension_name kind", "text"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -73,7 +79,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p6_found": p6_found, "p6_members": p6_members, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:

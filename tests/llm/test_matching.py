@@ -139,3 +139,18 @@ def test_standing_note_and_syndicated_article(spark):
     df = spark.createDataFrame(rows, "document_id string, host string, site string, title string, content string")
     got = {tuple(r) for r in boilerplate.furniture_lines(df, ["document_id"], prior=False).collect()}
     assert got == {(f"n{i}", 2) for i in range(6)}
+
+
+def test_short_family_names_stay_apart(spark):
+    """Kim, Lee, Li and Wu are four people; each one's own spellings are linked."""
+    rows, i = [], 0
+    for family in ("Kim", "Lee", "Li", "Wu"):
+        for text in ("Yuna " + family, f"{family}, Yuna", f"Dr Yuna {family}"):
+            i += 1
+            rows.append((i, "person", text))
+    df = spark.createDataFrame(rows, "id long, kind string, text string")
+    want = {(a, b) for k in range(0, 12, 3) for a in range(k + 1, k + 4) for b in range(a + 1, k + 4)}
+    for hot in (10_000, 1):
+        assert {tuple(r) for r in names.linked_pairs(df, hot).collect()} == want
+    members = names.name_members(df).collect()
+    assert len(members) == 12 and len({r["entity"] for r in members}) == 4 and {r["links"] for r in members} == {2}
