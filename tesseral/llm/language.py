@@ -18,6 +18,7 @@ signs and quoted scraps take the language around them; without any labelled row
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesseral.session import shared_dir
+
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 150, 1500, 24_000
 SWITCH = 3.0  # phrases a change of language must save
 MIN_RUN = 40  # shorter runs inside another language don't count
@@ -50,19 +53,21 @@ def label_code(label: str | None) -> str | None:
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufe00-\\ufe0f\\ufeff]")
 _CODE = re.compile(r"[\d+=_|<>@#/\\]")
 _OTHER = re.compile(r"\W+")
+_HANGUL = re.compile("[\\uac00-\\ud7a3]+")
 
 
 def alphabet_only(s: str) -> str:
-    """Letters in lower case and single blanks; words with digits or other code signs in them are left out."""
+    """Letters in lower case and single blanks, Korean syllables as their letters; words with digits or other code signs in them are left out."""
     if not s.isascii():
         s = _INVISIBLE.sub("", unicodedata.normalize("NFC", s))
     words = s.lower().split()
     if _CODE.search(s):
         words = [w for w in words if not _CODE.search(w)]
-    return _OTHER.sub(" ", " ".join([w for w in words if len(w) < 28])).strip()
+    s = _OTHER.sub(" ", " ".join(words)).strip()
+    return s if s.isascii() or not _HANGUL.search(s) else _HANGUL.sub(lambda m: unicodedata.normalize("NFD", m[0]), s)
 
 
-_SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»«)\]]*\s+|[^\S\n]*\n\s*|\s{2,}|\t")
+_SENTENCE = re.compile(r"[.!?…]+[\"'”’»«)\]]*\s+|[。！？]+[」』”’）\"')\]]*\s*|[^\S\n]*\n\s*|\s{2,}|\t")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _CJK = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]")
 
@@ -116,12 +121,19 @@ class Model:
     for signs the language doesn't have; -1 is no transition.
     """
 
-    TOP = 0x3100  # code points from here on are one sign that no language has
+    TOP = 0x3100  # code points from here on (Han and other large scripts) are signs by blocks of 64
+
+    @classmethod
+    def signs(cls, text: str) -> np.ndarray:
+        """The sign of each character: its code point, or its block's number behind TOP."""
+        flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(flat < cls.TOP, flat, cls.TOP + (flat >> 6))
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        chars = sorted({c for t in texts.values() for c in t if ord(c) < self.TOP})
-        self.codes = np.zeros(self.TOP + 1, np.int16)  # 0: a sign that no language has
+        said = {lang: "".join(map(chr, self.signs(t).tolist())) for lang, t in texts.items()}
+        chars = sorted({c for t in said.values() for c in t})
+        self.codes = np.zeros(self.TOP + (0x110000 >> 6), np.int16)  # 0: a sign that no language has
         for i, c in enumerate(chars):
             self.codes[ord(c)] = i + 1
         k = len(self.langs)
@@ -130,14 +142,13 @@ class Model:
         self.start = np.zeros(k, np.int32)
         tables, at = [], 0
         for row, lang in enumerate(self.langs):
-            own = [c for c in sorted(set(texts[lang])) if ord(c) < self.TOP]
+            own = sorted(set(said[lang]))
             ids, width = {c: i for i, c in enumerate(own)}, len(own) + 1
-            nexts = suffix_automaton(texts[lang])
+            nexts = suffix_automaton(said[lang])
             t = np.full((len(nexts), width), -1, np.int32)
             for state, n in enumerate(nexts):
                 for c, to in n.items():
-                    if c in ids:
-                        t[state, ids[c]] = at + to * width
+                    t[state, ids[c]] = at + to * width
             self.start[row], self.local[row], self.root[row] = at, width - 1, at
             for c, i in ids.items():
                 code = self.codes[ord(c)]
@@ -163,8 +174,7 @@ class Model:
             if not longest:
                 break
             codes = np.zeros((longest, len(part)), np.int16)  # a row for each position
-            flat = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le"), np.uint32)
-            flat = self.codes[np.minimum(flat, self.TOP)]
+            flat = self.codes[self.signs("".join(texts[i] for i in part))]
             column = np.repeat(np.arange(len(part)), ls)
             codes[np.arange(len(flat)) - np.repeat(np.cumsum(ls) - ls, ls), column] = flat
             active = np.searchsorted(-ls, -np.arange(longest), "left")  # texts longer than the position
@@ -184,6 +194,11 @@ class Model:
 
 def fit(sample: list[tuple[str, str]]) -> Model:
     """A model of (language, text) rows, cleaned of sentences that other languages explain better."""
+    return Model(training_texts(sample))
+
+
+def training_texts(sample: list[tuple[str, str]]) -> dict[str, str]:
+    """The text of each language that its automaton accepts, from (language, text) rows."""
     halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
     for i, (lang, text) in enumerate(sample):
         for a, b in units(text):
@@ -209,7 +224,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     for h in halves:
         for lang, ss in h.items():
             both[lang] += ss
-    return Model(joined({lang: ss for lang, ss in both.items() if ss}))
+    return joined({lang: ss for lang, ss in both.items() if ss})
 
 
 def _is_sign(c: str) -> bool:
@@ -316,13 +331,26 @@ def sample_labelled(docs: DataFrame, text: str = "text", label: str = "lang") ->
     return [(c, t) for c in sorted(got) for _, t in sorted(got[c])[:SAMPLE_DOCS]]
 
 
+def fitted(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
+    """The model of a table's labelled rows; its cleaned texts are kept in the shared folder under the sample's hash."""
+    sample, spark = sample_labelled(docs, text, label), docs.sparkSession
+    said = repr((TRAIN_CHARS, SAMPLE_CHARS, sample)).encode("utf-8", "surrogatepass")
+    path = f"{shared_dir(spark).rstrip('/')}/models/language-{hashlib.sha256(said).hexdigest()}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        texts = training_texts(sample)
+        spark.createDataFrame(sorted(texts.items()), "lang string, text string").coalesce(1).write.mode("overwrite").parquet(path)
+        return Model(texts)
+    return Model({r["lang"]: r["text"] for r in spark.read.schema("lang string, text string").parquet(path).collect()})  # a row a language, TRAIN_CHARS each
+
+
 SEGMENTS = "start_char long, end_char long, lang string, confidence double, position int, segments int"
 
 
 def language_segments(docs: DataFrame, keys: list[str], text: str = "text", label: str = "lang", model: Model | None = None) -> DataFrame:
     """keys, said (the label), start_char, end_char, lang, confidence, position, segments: a row for each segment of each text."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model or fit(sample_labelled(docs, text, label)))
+    sent = spark.sparkContext.broadcast(model or fitted(docs, text, label))
     rows = docs.select(*keys, F.col(label).alias("said"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "said").schema.fields)
 

@@ -154,3 +154,20 @@ def test_short_family_names_stay_apart(spark):
         assert {tuple(r) for r in names.linked_pairs(df, hot).collect()} == want
     members = names.name_members(df).collect()
     assert len(members) == 12 and len({r["entity"] for r in members}) == 4 and {r["links"] for r in members} == {2}
+
+
+def test_unspaced_scripts():
+    """Chinese, Japanese and Korean are told apart, whole unspaced sentences counted."""
+    said = {
+        "zh": "河水今晚还会继续上涨。居民应当留在家中等待通知。市政府已经关闭了主要道路。受影响地区的新地图已经公布。暴风雨正缓慢地向海岸移动。",
+        "ja": "川の水は今夜さらに上がる見込みです。住民は家にとどまってください。市は主要道路を閉鎖しました。被害地域の新しい地図が公開されました。嵐はゆっくりと海岸へ向かっています。",
+        "ko": "강물은 오늘 밤 다시 불어날 것입니다. 주민들은 집에 머물러야 합니다. 시는 주요 도로를 폐쇄했습니다. 피해 지역의 새 지도가 공개되었습니다. 폭풍은 천천히 해안으로 이동하고 있습니다.",
+    }
+    model = language.Model({k: language.alphabet_only(v) for k, v in said.items()})
+    for lang, text in said.items():
+        assert language.alphabet_only(text)
+        assert {x[2] for x in language.label_texts([text], model)[0]} == {lang}
+    assert {x[2] for x in language.label_texts(["市政府今晚公布了通知。居民已经等待暴风雨。"], model)[0]} == {"zh"}
+    assert {x[2] for x in language.label_texts(["시는 오늘 밤 지도를 공개했습니다"], model)[0]} == {"ko"}
+    long = "donaudampfschifffahrtsgesellschaftskapitän"
+    assert language.alphabet_only(long) == long
