@@ -4,7 +4,7 @@ Method: overlapping chunk encoding.  Texts over CHUNK characters are cut in the
 OVERLAP, so that one very long text is encoded by many tasks.  Each chunk is pre-tokenised and its pre-tokens are
 encoded; two neighbours are stitched at the first position in their overlap where both have a pre-token boundary:
 from there on they agree, since pre-tokenisation looks ahead only.  Where no boundary resynchronises (an unbroken
-run over the whole overlap) the two chunks are pre-tokenised as one.  Shorter texts are encoded where they lie,
+run over the whole overlap) the chunk is joined with the next one, two, four and so on, each time pre-tokenised once.  Shorter texts are encoded where they lie,
 without a shuffle.  Decoding concatenates the raw bytes of the ids.
 
 Defined results: an empty and a null text give an empty list; special-token strings are ordinary text; repeated
@@ -50,7 +50,35 @@ def read_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
     return spark.sparkContext.broadcast(data)
 
 
+@lru_cache(1)
+def _other_classes() -> tuple[regex.Pattern | None, dict[int, str]]:
+    """Characters that the tokenizer's own engine puts in another class than this one's newer or older Unicode tables.
+
+    Found by asking it for the letters and the numbers among all characters; each stands in for its class when cutting.
+    """
+    import tiktoken
+
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
+    table: dict[int, str] = {}
+    theirs, ours = {}, {}
+    for c in "LN":
+        probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{c}}}+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs[c], ours[c] = set(probe.decode(probe.encode_ordinary(every))), set(regex.findall(rf"\p{{{c}}}", every))
+    for x in (theirs["L"] ^ ours["L"]) | (theirs["N"] ^ ours["N"]):
+        table[ord(x)] = "x" if x in theirs["L"] else "0" if x in theirs["N"] else "."
+    return (regex.compile("[" + "".join(map(regex.escape, map(chr, sorted(table)))) + "]") if table else None), table
+
+
 def pre_tokens(text: str) -> list[str]:
+    """The pieces that the tokenizer encodes by themselves, cut where its own pre-tokeniser cuts."""
+    if not text.isascii():
+        odd, table = _other_classes()
+        if odd is not None and odd.search(text):
+            out, at = [], 0
+            for p in _SPLIT.findall(text.translate(table)):
+                out.append(text[at : at + len(p)])
+                at += len(p)
+            return out
     return _SPLIT.findall(text)
 
 
@@ -74,7 +102,8 @@ def stitch(enc, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], st
     """The ids of a text from its chunks (text, starts, first, ids), the i-th beginning at i * step."""
     out: list[np.ndarray] = []
     base, (text, starts, first, ids), begin = 0, chunks[0], 0  # begin: start within the current chunk that is settled
-    for i in range(1, len(chunks)):
+    i, grow = 1, 1
+    while i < len(chunks):
         nxt, at = chunks[i], i * step
         mine, theirs = starts + base, nxt[1] + at
         ok = (mine >= max(at, base + begin)) & (mine <= base + len(text) - LOOKAHEAD)
@@ -84,11 +113,15 @@ def stitch(enc, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], st
             a, b = np.searchsorted(mine, base + begin), np.searchsorted(mine, q)
             out.append(ids[(first[a] if a < len(first) else len(ids)) : (first[b] if b < len(first) else len(ids))])
             base, (text, starts, first, ids), begin = at, nxt, q - at
-        else:  # no resynchronisation: the two as one, from the settled start on
-            text = text[begin:] + nxt[0][base + len(text) - at :]
-            base += begin
-            begin = 0
+            i, grow = i + 1, 1
+        else:  # no resynchronisation: joined with twice as many chunks as the last time, so the work stays linear
+            more, end = [text[begin:]], base + len(text)
+            for j in range(i, min(i + grow, len(chunks))):
+                more.append(chunks[j][0][end - j * step :])
+                end = j * step + len(chunks[j][0])
+            base, begin, text = base + begin, 0, "".join(more)
             starts, first, ids = encode_chunk(enc, text, {})
+            i, grow = i + grow, grow * 2
     a = np.searchsorted(starts, begin)
     out.append(ids[(first[a] if a < len(first) else len(ids)) :])
     return np.concatenate(out).tolist()

@@ -52,6 +52,7 @@ def label_code(label: str | None) -> str | None:
 
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufe00-\\ufe0f\\ufeff]")
 _CODE = re.compile(r"[\d+=_|<>@#/\\]")
+_CODED = re.compile(r"(?<!\S)[^\s\d+=_|<>@#/\\]*[\d+=_|<>@#/\\]\S*")  # a word with a digit or other code sign in it
 _OTHER = re.compile(r"\W+")
 _HANGUL = re.compile("[\\uac00-\\ud7a3]+")
 
@@ -60,10 +61,10 @@ def alphabet_only(s: str) -> str:
     """Letters in lower case and single blanks, Korean syllables as their letters; words with digits or other code signs in them are left out."""
     if not s.isascii():
         s = _INVISIBLE.sub("", unicodedata.normalize("NFC", s))
-    words = s.lower().split()
+    s = s.lower()
     if _CODE.search(s):
-        words = [w for w in words if not _CODE.search(w)]
-    s = _OTHER.sub(" ", " ".join(words)).strip()
+        s = _CODED.sub(" ", s)
+    s = _OTHER.sub(" ", s).strip()
     return s if s.isascii() or not _HANGUL.search(s) else _HANGUL.sub(lambda m: unicodedata.normalize("NFD", m[0]), s)
 
 
@@ -290,7 +291,7 @@ def _segments(text: str, spans: list[tuple[int, int]], cost: np.ndarray, worded:
 def label_texts(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, language, confidence) of the segments of each text."""
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    plan, seen, distinct = [], {}, []
+    plan, known, seen, distinct = [], {}, {}, []
     for i, t in enumerate(texts):
         if not isinstance(t, str) or not t.strip():
             continue
@@ -301,11 +302,15 @@ def label_texts(texts: list[str | None], model: Model) -> list[list[tuple[int, i
         spans = units(t)
         rows = []
         for a, b in spans:
-            s = alphabet_only(t[a:b])
-            if s not in seen:
-                seen[s] = len(distinct)
-                distinct.append(s)
-            rows.append(seen[s])
+            raw = t[a:b]
+            at = known.get(raw)
+            if at is None:
+                s = alphabet_only(raw)
+                if s not in seen:
+                    seen[s] = len(distinct)
+                    distinct.append(s)
+                at = known[raw] = seen[s]
+            rows.append(at)
         plan.append((i, spans, rows))
     costs = model.phrases(distinct)
     worded = [len(s) >= 4 for s in distinct]

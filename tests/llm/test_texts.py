@@ -139,3 +139,31 @@ def test_containers(spark):
     assert report["containers"] == len(used) and report["least"] <= report["containers"]
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.packing_report(packing.pack(df.where(F.lit(False)))).first()["containers"] == 0
+
+
+@needs_vocabulary
+def test_pre_tokenisers_agree_on_every_character():
+    """The chunks' pre-tokeniser cuts as the tokenizer's own does, whatever class a character is of."""
+    enc = encoding.encoder(open(encoding.VOCABULARY, "rb").read())
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for at in range(0, len(every), 4096):
+        block = every[at : at + 4096]
+        for glue in ("a", "'s"):
+            text = glue.join(block)
+            assert encoding.encode_chunk(enc, text, {})[2].tolist() == enc.encode_ordinary(text), (hex(ord(block[0])), glue)
+
+
+@needs_vocabulary
+def test_unbroken_run_is_joined_once():
+    """The characters pre-tokenised for a run over many chunks stay within a small multiple of its length."""
+    enc, step, overlap = encoding.encoder(open(encoding.VOCABULARY, "rb").read()), 64, 16
+    text = "start " + "ab" * 4000 + " end of it"
+    parts = [text[i * step : i * step + step + overlap] for i in range((len(text) - 1 - overlap) // step + 1)]
+    seen, plain = [], encoding.encode_chunk
+    chunks = [(p, *plain(enc, p, {})) for p in parts]
+    encoding.encode_chunk = lambda e, t, c: (seen.append(len(t)), plain(e, t, c))[1]
+    try:
+        assert encoding.stitch(enc, chunks, step) == enc.encode_ordinary(text)
+    finally:
+        encoding.encode_chunk = plain
+    assert sum(seen) < 4 * len(text)
