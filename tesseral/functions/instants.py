@@ -171,15 +171,19 @@ def _parse(s: str, zone: str | None, order: str | None) -> str | None:
     return None
 
 
+LONGEST = 80
+_LONG_FRACTION = re.compile(r"([^.,]*[.,]\d{6})\d+(\D.*)?")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 
 
 def parse_instant(raw: str | None, zone: str | None = None, order: str | None = None) -> str | None:
-    if not isinstance(raw, str) or len(raw) > 200:
-        return None  # no notation is that long
+    if not isinstance(raw, str):
+        return None
     s = " ".join(_INVISIBLE.sub("", unicodedata.normalize("NFKC", raw)).replace("−", "-").split())
     if not s or not any(c.isdigit() for c in s):
         return None
+    if len(s) > LONGEST and (m := _LONG_FRACTION.fullmatch(s)):
+        s = m[1] + m[2]  # digits beyond microseconds are cut off, however many
     try:
         found = _parse(s, zone, order)
         if found is None:

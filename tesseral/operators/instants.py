@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tesseral.functions.instants import parse_instant
 from tesseral.operators.lookup import join_back
-from tesseral.session import shared_dir
+from tesseral.session import materialise, shared_dir
 from tesseral.sources.tables import table
 
 KEY = ["raw", "time_zone", "date_order"]
@@ -34,19 +34,23 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def instant_dictionary(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The dictionary (raw, time_zone, date_order, n, utc) for all values of rows, persisted at path.
 
-    A dictionary already there is kept and extended by the values it lacks; n counts the rows of the run that
-    added the value.  Null zones and orders are stored as "".  Without a path a new one in the shared folder.
+    A dictionary already there is kept and extended by the values it lacks; n counts the rows of the present run, 0 for
+    values that only earlier runs had, so hot values are judged by the rows at hand.  Null zones and orders are stored as "".  Without a path a new one in the shared folder.
     """
     spark = rows.sparkSession
     fresh = path is None
     path = path or f"{shared_dir(spark).rstrip('/')}/instants/{uuid.uuid4().hex}"
     values = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    lacking, present = values, None
     if not fresh:
+        present = values = materialise(values, "values")
+        lacking = values
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            values = values.join(spark.read.schema(DICTIONARY).parquet(path), KEY, "left_anti")
-    values.mapInPandas(_parse_batches, DICTIONARY).write.mode("append").parquet(path)
-    return spark.read.schema(DICTIONARY).parquet(path)
+            lacking = values.join(spark.read.schema(DICTIONARY).parquet(path), KEY, "left_anti")
+    lacking.mapInPandas(_parse_batches, DICTIONARY).write.mode("append").parquet(path)
+    known = spark.read.schema(DICTIONARY).parquet(path)
+    return known if present is None else materialise(known.drop("n").dropDuplicates(KEY).join(present, KEY, "left").select(*KEY, F.coalesce("n", F.lit(0)).alias("n"), "utc"), "known")
 
 
 def normalise_instants(df: DataFrame, raw: str, zone: str, order: str, ids: list[str], path: str | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def normalise_instants(df: DataFrame, raw: str, zone: str, order: str, ids: list
     """
     text = F.col(raw)
     rows = df.select(*ids, text.alias("raw"), F.coalesce(F.col(zone), F.lit("")).alias("time_zone"), F.coalesce(F.col(order), F.lit("")).alias("date_order"))
-    rows = rows.where(F.col("raw").rlike(r"\d\D*\d") & ~F.col("raw").rlike(r"^\s*-?P[\dT]") & (F.char_length("raw") <= 200))
+    rows = rows.where(F.col("raw").rlike(r"(?U)\d[^\d]*\d") & ~F.col("raw").rlike(r"^\s*-?P[\dT]"))
     known = instant_dictionary(rows, path)
     return join_back(rows, known, KEY, ["utc"]).where("utc is not null").select(*ids, "utc").distinct()
 

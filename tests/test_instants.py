@@ -55,3 +55,13 @@ def test_dictionary_is_extended(spark, tmp_path):
     known = instant_dictionary(spark.createDataFrame([("2024", "", ""), ("2022", "", "")], key), path)
     assert sorted(r["raw"] for r in known.collect()) == ["2022", "2023", "2024"]
     assert known.where(F.col("raw") == "2024").first()["n"] == 1
+    again = instant_dictionary(spark.createDataFrame([("2022", "", "")] * 5, key), path)
+    assert {r["raw"]: r["n"] for r in again.collect()} == {"2022": 5, "2023": 0, "2024": 0}
+
+
+def test_full_width_digits_and_long_values(spark):
+    """No value is left out for its digits' width or its length."""
+    rows = [(1, "２０２３-０１-０５"), (2, "2023-01-05" + " " * 400), (3, "2023-01-05T10:00:00." + "1" * 300 + "Z"), (4, "word " * 100), (5, "7 " * 5000)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "id long, value string, zone string, ord string")
+    got = {tuple(r) for r in normalise_instants(df, "value", "zone", "ord", ["id"]).collect()}
+    assert got == {(1, "2023-01-05"), (2, "2023-01-05"), (3, "2023-01-05T10:00:00.111111Z")}
