@@ -26,7 +26,7 @@ from tesseral.session import materialise
 
 THRESHOLD = 0.70  # similarity of an accepted entry
 MARGIN = 0.08  # by which it leads the next entry
-RECALL = 0.10  # cosine from which an entry is a candidate
+RECALL = 0.20  # cosine from which an entry is a candidate
 # Words that say nothing of the value.
 FILLERS = frozenset("of the a an and other severe type cat category kind value label".split())
 _PREFIX = re.compile(r"^\s*(?:[\w ]{1,12}[:=]|#+|\(?\d{1,3}[.)]|[-*•])\s*")
@@ -47,18 +47,21 @@ def words(value: str | None) -> list[str]:
 
 
 def grams(ws: list[str]) -> list[str]:
-    """2- and 3-grams of each word with its ends marked, and of the words run together; no order of words."""
+    """2- and 3-grams of each word with its ends marked, pairs of letters with one between them, and the same of the
+    words run together, and each word's letters in order of the alphabet; no order of words.  The pairs keep a mistyped
+    letter, the ordered letters a swap, within reach of short words."""
     out = set()
     for w in [*ws, "".join(ws)] if len(ws) > 1 else ws:
         p = f"^{w}$"
         out.update(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))
-        out.update("~" + c for c in w)  # single letters keep swapped short words within reach
+        out.update(f"~{p[i]}{p[i + 2]}" for i in range(len(p) - 2))
+        out.add("=" + "".join(sorted(w)))
     return sorted(out)
 
 
 def _arranged(ws: list[str]) -> list[str]:
     """The letters of the words in the orders worth comparing: as typed, and reordered by rotation."""
-    return ["".join(ws[i:] + ws[:i]) for i in range(min(len(ws), 4))] or [""]
+    return ["".join(ws[i:] + ws[:i]) for i in range(len(ws))] or [""]
 
 
 def similarity(value: list[str], entry: list[str], cosine: float) -> float:
@@ -91,27 +94,36 @@ def _prepare(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.mapInPandas(run, f"{schema}, words array<string>, gram array<string>")
 
 
-def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
+def match_values(values: DataFrame, entries: DataFrame, recall: float | None = None) -> DataFrame:
     """(grp, value, entry_id, score) for distinct (grp, value): the entry of the group meant, or 0.
 
     entries: (grp, entry_id, name), one row for each name or alias.  No candidate is capped: every entry that
     shares enough n-gram weight is scored.
     """
-    typed = values.select("grp", "value").where("value is not null").distinct()
-    typed = _prepare(typed, "value", "grp string, value string")
+    least = RECALL if recall is None else recall
+    typed = materialise(_prepare(values.select("grp", "value").where("value is not null").distinct(), "value", "grp string, value string"), "typed")
     known = _prepare(entries.select("grp", "entry_id", "name").distinct(), "name", "grp string, entry_id long, name string")
-    per_entry = known.select("grp", "entry_id", "name", F.col("words").alias("entry_words"), F.explode("gram").alias("g"))
-    groups = known.groupBy("grp").agg(F.count(F.lit(1)).alias("names"))
+    per_entry = materialise(known.select("grp", "entry_id", "name", F.col("words").alias("entry_words"), F.explode("gram").alias("g")), "entries")
+    groups = per_entry.select("grp", "entry_id", "name").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("names"))
     idf = per_entry.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("df")).join(groups, "grp").select("grp", "g", F.log1p(F.col("names") / F.col("df")).alias("w"))
     index = per_entry.join(idf, ["grp", "g"])
     norms = index.groupBy("grp", "entry_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
-    index = index.join(norms, ["grp", "entry_id", "name"])
+    index = materialise(index.join(norms, ["grp", "entry_id", "name"]), "index")
     # grams that no entry has count in the value's norm with the weight of a gram of one entry
-    side = typed.select("grp", "value", "words", F.explode("gram").alias("g")).join(idf, ["grp", "g"], "left").join(groups, "grp")
-    side = side.withColumn("w", F.coalesce("w", F.log1p("names")))
-    norm = side.groupBy("grp", "value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = side.select("grp", "value", "words", "g").join(index, ["grp", "g"]).groupBy("grp", "value", "entry_id", "name").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.first("entry_norm").alias("entry_norm"), F.first("words").alias("words"), F.first("entry_words").alias("entry_words"))
-    hits = hits.join(norm, ["grp", "value"]).withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("entry_norm"))).where(F.col("cosine") >= RECALL)
+    side = typed.select("grp", "value", F.explode("gram").alias("g")).join(idf, ["grp", "g"], "left").join(groups, "grp")
+    side = side.withColumn("known", F.col("w").isNotNull()).withColumn("w", F.coalesce("w", F.log1p("names")))
+    of = side.groupBy("grp", "value").agg(F.sum(F.col("w") * F.col("w")).alias("sq"), F.array_sort(F.collect_list(F.when(F.col("known"), F.struct((-F.col("w")).alias("r"), "g")))).alias("gs"))
+    # prefix filter: the rarest grams of a value are looked up until the rest could no longer reach RECALL, since a
+    # cosine from the rest alone is at most the rest's share of the value's norm
+    rest = lambda gs, i: F.aggregate(F.slice(gs, i + 1, F.size(gs)), F.lit(0.0), lambda t, x: t + x["r"] * x["r"])
+    kept = F.filter("gs", lambda x, i: rest(F.col("gs"), i) >= least * least * F.col("sq"))
+    probes = of.select("grp", "value", F.explode(kept).alias("x")).select("grp", "value", F.col("x.g").alias("g"))
+    pairs = probes.join(index.select("grp", "g", "entry_id", "name"), ["grp", "g"]).select("grp", "value", "entry_id", "name").distinct()
+    # the cosine of the pairs found, from all their grams
+    entry = index.groupBy("grp", "entry_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("ws"), F.first("entry_norm").alias("entry_norm"), F.first("entry_words").alias("entry_words"))
+    hits = pairs.join(entry, ["grp", "entry_id", "name"]).join(typed, ["grp", "value"]).join(of.select("grp", "value", F.sqrt("sq").alias("norm")), ["grp", "value"])
+    dot = F.aggregate("gram", F.lit(0.0), lambda t, g: t + F.coalesce(F.pow(F.try_element_at("ws", g), F.lit(2.0)), F.lit(0.0)))
+    hits = hits.withColumn("cosine", dot / (F.col("norm") * F.col("entry_norm"))).where(F.col("cosine") >= least)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
