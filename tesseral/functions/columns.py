@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-# Words without meaning of their own for keywords.
+# The words that keyword extraction leaves out; results depend on exactly these.
 STOP_WORDS = (
-    "this that with from have been were they their there what when where which while will would could should about after before "
-    "again also because between both during each more most other over same some such than then these those through under until very"
+    "that this with from have will been were said would could their about which there where when what who whom whose they them these "
+    "those then than such into through during before after above below between under again further once here more most other some only "
+    "very also just should being both each much many same over because however therefore thus"
 ).split()
 
 

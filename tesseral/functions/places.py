@@ -9,8 +9,8 @@ from tesseral.functions.columns import col, haversine
 
 # Words of a venue's kind that follow its city.
 VENUES = "international airport|airport|stadium|arena|hospital|university|convention cent(?:er|re)|cent(?:er|re)|museum|station|park|hall|college|port"
-# Tag keys of a map feature, the first present one names its kind.
-FEATURE_KEYS = ("place", "natural", "waterway", "landuse", "amenity", "tourism", "historic", "building", "highway")
+# Tag keys of a map feature in the order that decides its kind; results depend on exactly these.
+FEATURE_KEYS = ("place", "natural", "waterway", "landuse", "amenity", "tourism", "building", "highway", "railway")
 
 
 def city_of_venue(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +48,47 @@ def derived_dimensions(entities: DataFrame, least: float = 0.5) -> DataFrame:
     return kept.select("dimension", "field", "share", F.round("position", 6).alias("position"), F.row_number().over(w).alias("rank"))
 
 
+FIRST_LEAST, FIRST_MOST, FIRST_SHARE, BATCH = 50, 150, 0.10, 50
+DECAY = ((2, 0.3), (5, 0.6))  # up to this batch, the confidence that a new dimension needs; later ones 0.9
+LATE = 0.9
+
+
+def first_batch(size: Column | str) -> Column:
+    """Questions of the first batch: a share of the cluster within bounds."""
+    return F.greatest(F.lit(FIRST_LEAST), F.least(F.lit(FIRST_MOST), F.floor(C.col(size) * FIRST_SHARE))).cast("int")
+
+
+def batches(size: Column | str, first: Column | str, batch: int = BATCH) -> Column:
+    """Batches of a cluster: the first one, and the rest in equal ones."""
+    n, f = C.col(size), C.col(first)
+    return F.when(n <= f, 1).otherwise(1 + F.ceil((n - f) / batch)).cast("int")
+
+
+def decay_threshold(number: Column | str) -> Column:
+    """The confidence that a new dimension needs in the batch of a number, counted from 1."""
+    out = F.lit(LATE)
+    for last, threshold in reversed(DECAY):
+        out = F.when(C.col(number) <= last, threshold).otherwise(out)
+    return out
+
+
+def batch_plan(sizes: DataFrame, size: str = "size") -> DataFrame:
+    """sizes with first_batch, batches, and the threshold in force in the last batch."""
+    return sizes.withColumn("first_batch", first_batch(size)).withColumn("batches", batches(size, "first_batch")).withColumn("threshold", decay_threshold("batches"))
+
+
+def dimension_first(entities: DataFrame) -> DataFrame:
+    """(dimension, text, clusters, mentions) from entity-first rows (cluster, dimension, text): case and blanks folded."""
+    e = entities.where(F.trim("text") != "").select(C.snake("dimension").alias("dimension"), F.lower(F.trim("text")).alias("text"), "cluster")
+    return e.groupBy("dimension", "text").agg(F.countDistinct("cluster").alias("clusters"), C.rows().alias("mentions"))
+
+
+def schema_statistics(entities: DataFrame) -> DataFrame:
+    """(dimension, entities, mentions, shared): distinct entities of each dimension, and those of more than one cluster; a total under null."""
+    d = dimension_first(entities)
+    return d.rollup("dimension").agg(C.rows().alias("entities"), F.sum("mentions").alias("mentions"), F.sum((F.col("clusters") > 1).cast("long")).alias("shared"))
+
+
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 

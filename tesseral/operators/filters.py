@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +115,34 @@ def validate_categories(mentions: DataFrame, reference: DataFrame, strict: bool
     return out.where("status <> 'invalid'") if strict else out
 
 
+def fuzzy_categories(values: DataFrame, allowed: list[tuple[str, str]], least: float = 0.8) -> DataFrame:
+    """(dimension_name, category, match, ratio): the allowed name of its dimension most like each distinct value, null below `least`.
+
+    allowed: (dimension, name), a fixed list.  Equal ratios go to the first name in the order of letters; null and
+    blank values have no row.  Ratios are of matching blocks, case and outer blanks aside; lengths bound them, so most
+    names are never compared.
+    """
+    names: dict[str, list[str]] = {}
+    for dimension, name in sorted(set(allowed)):
+        names.setdefault(dimension, []).append(name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for dimension, value in zip(b["dimension_name"], b["category"]):
+                v, best = value.strip().lower(), (0.0, None)
+                for name in names.get(dimension, ()):
+                    k = name.strip().lower()
+                    bound = 2 * min(len(k), len(v)) / max(1, len(k) + len(v))
+                    if bound >= least and bound > best[0] and (r := SequenceMatcher(None, v, k).ratio()) >= least and r > best[0]:
+                        best = (r, name)
+                found.append(best)
+            yield b.assign(match=[x[1] for x in found], ratio=[round(x[0], 6) for x in found])
+
+    rows = values.where(F.trim("category") != "").select("dimension_name", "category").distinct()
+    return rows.mapInPandas(run, "dimension_name string, category string, match string, ratio double")
+
+
 def passing_scores(entities: DataFrame, relevance: float = 0.7, accuracy: float = 0.7, consistency: float = 0.6, with_context: bool = False) -> DataFrame:
     """Entities (relevance, accuracy, consistency) that reach the thresholds; a missing score counts as 1."""
     score = lambda c: F.coalesce(F.col(c), F.lit(1.0))

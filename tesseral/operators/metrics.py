@@ -86,6 +86,21 @@ def latency(timings: DataFrame, seconds: str = "total_duration_seconds") -> Data
     return timings.where(F.col(seconds).isNotNull()).agg(C.rows().alias("runs"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.stddev_pop(ms), 4).alias("deviation"), F.round(F.try_divide(C.rows(), F.sum(seconds)), 6).alias("chunks_a_second"), F.round(F.coalesce(F.sum("gpu_hours"), F.lit(0.0)), 4).alias("gpu_hours"))
 
 
+EFFICIENCY_TARGETS = {"overhead": 0.5, "throughput": 10.0, "p95": 500.0}  # per cent at most, chunks a second at least, ms at most
+
+
+def efficiency_targets(timings: DataFrame, seconds: str = "total_duration_seconds", overhead_percent: float = 0.0) -> DataFrame:
+    """One row: chunks a second and p95 in ms of timed runs, and whether overhead, throughput and p95 meet their targets; without runs only overhead can."""
+    t = EFFICIENCY_TARGETS
+    s = latency(timings, seconds).select("runs", "p95", "chunks_a_second")
+    return s.select("runs", "p95", "chunks_a_second", F.lit(overhead_percent < t["overhead"]).alias("overhead_met"), F.coalesce(F.col("chunks_a_second") >= t["throughput"], F.lit(False)).alias("throughput_met"), F.coalesce(F.col("p95") < t["p95"], F.lit(False)).alias("p95_met"))
+
+
+def overall_scores(rows: DataFrame, dimension: str = "dimension_name") -> DataFrame:
+    """One row: mean F1 of the dimensions (dimension, f1) and the share that has any; 0 without dimensions."""
+    return rows.where(F.col(dimension).isNotNull()).agg(C.rows().alias("dimensions"), F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("combined_f1"), F.round(F.coalesce(F.avg((F.col("f1") > 0).cast("int")), F.lit(0.0)), 6).alias("success_rate"))
+
+
 def component_times(timings: DataFrame) -> DataFrame:
     """(component, part, runs, total, mean, least, greatest): nested durations, parts of components included."""
     c = timings.where("components is not null").select(F.explode("components").alias("component", "v"))

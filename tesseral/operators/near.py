@@ -107,9 +107,9 @@ def _near_blocks(points: DataFrame, ref: DataFrame, km: float) -> DataFrame:
     return left.cogroup(right).applyInPandas(walk, "point_id long, target_id long")
 
 
-def near_places(points: DataFrame, places: DataFrame, km: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_places(points: DataFrame, places: DataFrame, km: float, broadcast_rows: int = BROADCAST_ROWS, null_island: bool = False) -> DataFrame:
     """(point_id, target_id) for each place of places (target_id, lat, lon) at most km from a point (point_id, lat, lon)."""
-    points = points.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(usable("lat", "lon"))
+    points = points.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(usable("lat", "lon", null_island))
     places = places.select("target_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(usable("lat", "lon", True))
     few = places.limit(broadcast_rows + 1).toPandas()  # the size check: never more than the bound reaches the driver
     pairs = _near_broadcast(points, few, km) if len(few) <= broadcast_rows else _near_blocks(points, places, km)

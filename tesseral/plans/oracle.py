@@ -43,11 +43,12 @@ s AS (SELECT DISTINCT doc_id, text AS place, latitude, longitude FROM mentions W
 SELECT coalesce(t.doc_id, s.doc_id) AS doc_id, date, time_text, place, latitude, longitude FROM t FULL JOIN s ON t.doc_id = s.doc_id)"""
 _QUERIES = "(SELECT * FROM (VALUES (1::BIGINT, 'river flood warning'), (2::BIGINT, 'measles cases confirmed by the hospital'), (3::BIGINT, 'storm moved towards the levee')) AS v(query_id, query))"
 _BM25 = rf"""(WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ts FROM documents WHERE text IS NOT NULL),
-n AS (SELECT * FROM d WHERE len(ts) > 0), st AS (SELECT count(*) AS docs, avg(len(ts)) AS mean_len FROM n),
-q AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) AS t FROM {_QUERIES}),
-p AS (SELECT doc_id, len(ts) AS l, t, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
-i AS (SELECT t, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, st GROUP BY t),
-f AS (SELECT t, CASE WHEN idf < 0 THEN 0.25 * abs((SELECT avg(idf) FROM i)) ELSE idf END AS idf FROM i)
+st AS (SELECT count(*) AS docs, avg(len(ts)) AS mean_len FROM d),
+q AS (SELECT query_id, unnest(string_split(query, ' ')) AS t FROM {_QUERIES}),
+a AS (SELECT doc_id, len(ts) AS l, t, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM d) GROUP BY ALL),
+p AS (SELECT * FROM a WHERE t IN (SELECT t FROM q)),
+i AS (SELECT t, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM a, st GROUP BY t),
+f AS (SELECT t, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i)
 SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean_len))), 6) AS score FROM p JOIN f USING (t) JOIN q USING (t), st GROUP BY query_id, doc_id)"""
 _CHUNK = r"regexp_extract(doc_id, '_chunk_(\d+)$', 1)"
 _ANSWERS = "(SELECT a.document_id AS question_id, a.title AS predicted, b.title AS gold, b.content AS context FROM (SELECT DISTINCT document_id, title FROM input_documents WHERE title IS NOT NULL) a JOIN (SELECT DISTINCT document_id, title, content FROM parsed_documents) b ON a.document_id = b.document_id WHERE b.title IS NOT NULL)"

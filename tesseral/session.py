@@ -33,9 +33,11 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; only on a local master, where that is unset, a temporary one is set."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="tesseral-shared-")
         spark.conf.set("spark.checkpoint.dir", have)
     if spark.sparkContext.getCheckpointDir() is None:

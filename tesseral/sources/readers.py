@@ -82,9 +82,9 @@ def union_existing(spark: SparkSession, paths: dict[str, str], schema: str) -> D
 
 
 def from_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """(document_id, title, input_type, content): addresses as input documents; ids are stable."""
+    """(document_id, title, input_type, content): addresses as input documents; ids are stable, a whole hash of the address each."""
     host = F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("unknown"))
-    return df.select(F.concat(F.lit("url_"), host, F.lit("_"), F.pmod(F.xxhash64(url), F.lit(10_000)).cast("string")).alias("document_id"), F.col(url).alias("title"), F.lit("url").alias("input_type"), F.col(url).alias("content"))
+    return df.select(F.concat(F.lit("url_"), host, F.lit("_"), F.lower(F.hex(F.xxhash64(url)))).alias("document_id"), F.col(url).alias("title"), F.lit("url").alias("input_type"), F.col(url).alias("content"))
 
 
 def from_texts(df: DataFrame, text: str = "text") -> DataFrame:
