@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesseral.plans.oracle import _DATE, _DENSE, _DIR, _OK, _TOK, SQL, _top
+from tesseral.plans.oracle import _BM25, _DATE, _DEG, _DENSE, _DIR, _OK, _QUERIES, _TOK, SQL, _km, _top
 
 _TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda x: x <> ''))"
 _WITH = "(SELECT d.*, q.title AS query, t.text FROM (SELECT * FROM {src}) d JOIN documents q ON q.doc_id = d.query_id JOIN documents t ON t.doc_id = d.doc_id WHERE q.title IS NOT NULL)"
@@ -32,7 +32,42 @@ _NUM = "coalesce(try_cast(nullif(g.{x}, '') AS INT), 0)"
 _EDGE = "(SELECT lower(trim(dimension_name, ' ')) AS dimension, lower(trim(text, ' ')) AS text, coalesce(source, 'none') AS cluster FROM mentions WHERE trim(text, ' ') <> '')"
 _ENT = f"(SELECT replace(dimension, ' ', '_') AS dimension, text, count(DISTINCT cluster) AS clusters, count(*) AS mentions FROM {_EDGE} GROUP BY ALL)"
 
+# all terms of the titles asked, split as the operator does
+_BM25_ALL = _BM25.replace(f"unnest(string_split(query, ' ')) AS t FROM {_QUERIES}", r"unnest(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda x: x <> '')) AS t FROM (SELECT doc_id AS query_id, title FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL)")
+_CHORD = "2 * sin(50.0::DOUBLE / 6371.0 / 2)"
+# positions of located mentions, the pairs within reach, and the least position of each component
+_CLUSTERS = f"""WITH RECURSIVE m AS (SELECT DISTINCT mention_id, cos(radians(latitude)) * cos(radians(longitude)) AS x, cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z FROM mentions WHERE dimension_name = 'spatial' AND {_OK}),
+p AS (SELECT x, y, z, count(*) AS n, row_number() OVER (ORDER BY x, y, z) AS id FROM m GROUP BY x, y, z),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= pow({_CHORD}, 2)),
+c AS (SELECT id, id AS l FROM p UNION SELECT e.b AS id, c.l FROM c JOIN e ON c.id = e.a WHERE c.l < e.b),
+k AS (SELECT id, min(l) AS l FROM c GROUP BY id),
+g AS (SELECT m.mention_id, k.l FROM m JOIN p USING (x, y, z) JOIN k USING (id)),
+f AS (SELECT l, count(*) AS size, min(mention_id) AS first_mention FROM g GROUP BY l HAVING count(*) >= 2)"""
+_SETS = """n AS (SELECT DISTINCT doc_id, unnest([CASE WHEN text IS NOT NULL THEN dimension_name || ':' || lower(text) END, CASE WHEN category IS NOT NULL THEN dimension_name || '=' || lower(category) END]) AS e FROM mentions WHERE doc_id IS NOT NULL),
+c AS (SELECT doc_id, count(*) AS k FROM n WHERE e IS NOT NULL GROUP BY 1)"""
+_STORY = f"""WITH {_SETS}, o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM n a JOIN n b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT o.a, o.b, shared::DOUBLE / (x.k + y.k - shared) AS overlap FROM o JOIN c x ON x.doc_id = o.a JOIN c y ON y.doc_id = o.b),
+t AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, {_DATE.format(c='normalized')} AS d FROM mentions WHERE dimension_name = 'temporal' AND doc_id IS NOT NULL) WHERE d IS NOT NULL GROUP BY 1),
+w AS (SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.doc_id < y.doc_id AND abs(date_diff('day', x.d, y.d)) < 7),
+u AS (SELECT a, b FROM j WHERE overlap >= 0.3 UNION SELECT a, b FROM w),
+r AS (SELECT u.a, u.b, CASE WHEN j.overlap >= 0.3 THEN j.overlap END AS overlap, abs(date_diff('day', x.d, y.d))::DOUBLE AS days FROM u LEFT JOIN j ON j.a = u.a AND j.b = u.b LEFT JOIN t x ON x.doc_id = u.a LEFT JOIN t y ON y.doc_id = u.b)
+SELECT a, b, round(overlap, 6) AS overlap, days, round(0.6::DOUBLE * coalesce(overlap, 0) + CASE WHEN days < 7 THEN 0.4::DOUBLE * (1 - days / 7) ELSE 0 END, 6) AS score FROM r"""
+_POINTS = f"(SELECT DISTINCT mention_id, latitude, longitude FROM mentions WHERE dimension_name = 'spatial' AND {_OK})"
+_P4 = f"""WITH p AS {_POINTS}, v AS (SELECT area_id, ring, unnest(ring) AS v, generate_subscripts(ring, 1) AS i FROM (SELECT area_id, unnest(rings) AS ring FROM areas)),
+g AS (SELECT area_id, v.longitude AS x1, v.latitude AS y1, ring[i % len(ring) + 1].longitude AS x2, ring[i % len(ring) + 1].latitude AS y2 FROM v),
+h AS (SELECT mention_id, area_id, count(*) AS crossings FROM p JOIN g ON (y1 > p.latitude) <> (y2 > p.latitude) AND p.longitude < (x2 - x1) * (p.latitude - y1) / (y2 - y1) + x1 GROUP BY ALL)
+SELECT mention_id, 'in' AS kind, area_id AS target_id FROM h WHERE crossings % 2 = 1
+UNION ALL SELECT mention_id, 'near', place_id FROM p JOIN gazetteer z ON {_km('p.latitude', 'p.longitude', 'z.latitude', 'z.longitude')} * 6371.0088 / 6371.0 <= 10"""
+
 MORE: dict[str, str] = {
+    "p4_found": _P4,
+    "cross_dimensional_all": "WITH v AS (SELECT DISTINCT document_id AS doc, dimension_name AS dim, coalesce(nullif(lower(trim(category, ' ')), ''), nullif(lower(trim(text, ' ')), '')) AS value FROM mentions WHERE document_id IS NOT NULL), n AS (SELECT * FROM v WHERE value IS NOT NULL) SELECT a.dim AS dim_a, a.value AS value_a, b.dim AS dim_b, b.value AS value_b, count(*) AS documents FROM n a JOIN n b ON a.doc = b.doc AND a.dim < b.dim GROUP BY ALL",
+    "directions_all": f"SELECT a.place_id, b.place_id AS to_id, round({_DEG}, 4) AS bearing, {_DIR.format(d=_DEG)} AS direction, round({_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 4) AS km FROM gazetteer a JOIN gazetteer b ON b.place_id = a.place_id + 1",
+    "bm25_scores_all": f"SELECT * FROM {_BM25_ALL}",
+    "bm25_top_all": f"SELECT * FROM {_top(f'(SELECT query_id, doc_id, round(score, 4) AS score FROM {_BM25_ALL})', 10)}",
+    "spatial_clusters": f"{_CLUSTERS} SELECT first_mention, size FROM f",
+    "cluster_statistics": f"{_CLUSTERS} SELECT count(*) AS clusters, coalesce(sum(size), 0)::BIGINT AS members, min(size) AS least, max(size) AS greatest, round(avg(size), 6) AS mean, median(size) AS median FROM f",
+    "story_edges": _STORY,
     "three_stage_top": _stages(_top(_DOCS, 100), _COVER),
     "three_stage_boosted": _stages(_top(_DOCS, 100), "hybrid", "CASE WHEN doc_id IN (SELECT vec_id FROM embeddings WHERE label = 2) THEN 0.3 ELSE 0.0 END"),
     "three_stage_filtered": _stages(_top(_DOCS, 100, "label IN (1, 3, 5)"), _COVER),
