@@ -252,20 +252,6 @@ def bm25_top(s, d):
     return retrieval.top_k(_bm25(s, d).withColumn("score", F.round("score", 4)), "query_id", "doc_id", "score", 10)
 
 
-def rank_fusion(s, d):
-    dense = retrieval.dense_top_k(_vectors(s, d), _vector_queries(s, d), 20)
-    by_label = _vector_queries(s, d).select("query_id", "label").join(_vectors(s, d).select("doc_id", "label"), "label")
-    second = retrieval.top_k(by_label.withColumn("score", -F.abs(F.col("doc_id") - F.col("query_id")).cast("double")), "query_id", "doc_id", "score", 20)
-    both = dense.select(F.lit("dense").alias("ranker"), "query_id", "doc_id", "rank").unionByName(second.select(F.lit("label").alias("ranker"), "query_id", "doc_id", "rank"))
-    return retrieval.top_k(retrieval.reciprocal_rank_fusion(both), "query_id", "doc_id", "score", 10)
-
-
-def hybrid_top(s, d):
-    dense = retrieval.dense_top_k(_vectors(s, d), _vector_queries(s, d), 20)
-    sparse = dense.select("query_id", "doc_id", (F.col("doc_id") % 7).cast("double").alias("score"))
-    return retrieval.top_k(retrieval.hybrid(dense, sparse), "query_id", "doc_id", "score", 10)
-
-
 def boosted_top(s, d):
     dense = retrieval.dense_top_k(_vectors(s, d), _vector_queries(s, d), 30)
     return retrieval.top_k(retrieval.boosted(dense, _vectors(s, d).where("label = 2")), "query_id", "doc_id", "score", 10)
@@ -367,9 +353,10 @@ def retrieval_summary(s, d):
 
 
 def extraction_counts(s, d):
-    m = mentions(s, d, "mention_id", "document_id", "dimension_name", "text", "confidence").where("text is not null and document_id is not null")
+    """Mentions of confidence 0.8 or more, held against those that a later step could normalise or categorise."""
+    m = mentions(s, d, "mention_id", "document_id", "dimension_name", "text", "confidence", "normalized", "category").where("text is not null and document_id is not null")
     low = lambda df: df.select("document_id", "dimension_name", F.lower("text").alias("text"))
-    return metrics.extraction_counts(low(m.where("confidence >= 0.8")), low(m), ["document_id", "dimension_name", "text"])
+    return metrics.extraction_counts(low(m.where("confidence >= 0.8")), low(m.where("normalized is not null or category is not null")), ["document_id", "dimension_name", "text"])
 
 
 def distance_accuracy(s, d):
@@ -408,9 +395,11 @@ def paragraph_chunks(s, d):
 
 
 def element_chunks(s, d):
-    parts = table(s, d, "parsed_documents", "document_id", "content").where("content is not null").distinct().select("document_id", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    kind = F.when(F.char_length("text") < 30, "title").otherwise("text")
-    return text.element_chunks(parts.select("document_id", "pos", kind.alias("type"), F.lit(1).alias("level"), "text"))
+    """The chunks of each document as its elements: their first type, and the depth of their hierarchy."""
+    parts = table(s, d, "document_chunks", "document_id", "chunk_index", "element_types", "section_hierarchy", "text").distinct()
+    kind = F.coalesce(F.lower(F.get("element_types", F.lit(0))), F.lit("text"))
+    level = F.coalesce(F.size(F.split("section_hierarchy", r"\s*>\s*")), F.lit(1))
+    return text.element_chunks(parts.where("document_id is not null").select("document_id", F.col("chunk_index").alias("pos"), kind.alias("type"), level.alias("level"), "text"))
 
 
 def table_cells(s, d):
@@ -529,7 +518,7 @@ QUERIES = [
     temporal_ids, temporal_range_ids, bbox_ids, radius_ids, any_ids, all_ids, and_ids, or_ids, filter_stats, dimension_postings, hierarchical_ids, dimension_top, available_keys, category_validation,
     temporal_stats, temporal_distribution, temporal_timeline, spatial_stats, top_texts, category_stats, category_by_source, cross_dimensional, cross_dimensional_all, global_stats, document_summary, burst_days, burst_hours,
     temporal_clusters, categorical_clusters, spatial_clusters, spatiotemporal_clusters, multi_clusters, cluster_statistics, flat_events, geojson_features, enriched_documents, inverted_index, story_edges, story_arcs,
-    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, rank_fusion, hybrid_top, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
+    dense_top, pre_filter_top, post_filter_top, ivf_top, bm25_scores, bm25_top, bm25_scores_all, bm25_top_all, boosted_top, packed_context, multi_hop, nearby_places, geocoded, context_memory, context_memory_all, prompt_lines, anchor_dates, confidence_rollup, schema_mentions, latency_improvement,
     content_copies, merged_ids, unfinished_documents, normalised_answers, qa_rows, qa_summary, retrieval_rows, retrieval_summary, extraction_counts, distance_accuracy, latency, component_times, duration_correlation,
     keywords, previews, sliding_chunks, paragraph_chunks, element_chunks, table_cells, resolved_phrases, resolved_mentions, time_parts, directions, directions_all, query_kinds, title_kinds, question_clusters, question_samples, derived_dimensions, merged_schema,
     distinct_entities, yearly_rollup, event_windows, event_sessions, input_ids,

@@ -71,6 +71,8 @@ MORE: dict[str, str] = {
     "three_stage_top": _stages(_top(_DOCS, 100), _COVER),
     "three_stage_boosted": _stages(_top(_DOCS, 100), "hybrid", "CASE WHEN doc_id IN (SELECT vec_id FROM embeddings WHERE label = 2) THEN 0.3 ELSE 0.0 END"),
     "three_stage_filtered": _stages(_top(_DOCS, 100, "label IN (1, 3, 5)"), _COVER),
+    "hybrid_top": f"SELECT query_id, doc_id, score, rank FROM ({_stages(_top(_DOCS, 20), 'hybrid')})",
+    "rank_fusion": f"WITH d AS (SELECT query_id, doc_id, rank FROM {_top(_DENSE, 20)}), l AS (SELECT query_id, doc_id, rank FROM {_top(f'(SELECT * FROM {_BM25_ALL})', 20)}) SELECT * FROM {_top('(SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM l) GROUP BY ALL)', 10)}",
     "suggested_filters": rf"""SELECT title, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform((string_split(trim(regexp_replace(title, '\s+', ' ', 'g'), ' '), ' '))[2:], lambda x: regexp_replace(x, '[^0-9A-Za-z_\p{{L}}\p{{N}}]', '', 'g')), lambda x: regexp_matches(x, '^\p{{Lu}}')))), '|'), '') AS entities,
 CASE WHEN len({_YEAR}) > 0 THEN {_YEAR}[1]::INT END AS year, CASE WHEN len({_YEAR}) = 0 AND len({_QUARTER}) > 0 THEN substr({_QUARTER}[1], 2, 1)::INT END AS quarter, nullif(regexp_extract(title, '\b(?:in|at|near|from) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1), '') AS region FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)""",
     "context_ids": f"SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, count(DISTINCT doc_id) AS documents FROM {_top(_DENSE, 10)} GROUP BY 1",

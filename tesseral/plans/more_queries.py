@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesseral.functions import questions as Q
 from tesseral.operators import answers, discovery, filters, metrics, retrieval, stories
-from tesseral.plans.core_queries import dense_top, mentions, nearby_places
+from tesseral.plans.core_queries import _bm25_all, _vector_queries, _vectors, dense_top, mentions, nearby_places
 from tesseral.sources.tables import table
 
 
@@ -34,6 +34,19 @@ def three_stage_filtered(s, d):
     return answers.three_stage(docs, _asked(s, d), keep=docs.where("label in (1, 3, 5)")).select("query_id", "doc_id", "hybrid", "score", "rank")
 
 
+def hybrid_top(s, d):
+    """Dense candidates by titles' vectors, mixed with the terms that titles share with texts."""
+    return answers.three_stage(_texts(s, d), _asked(s, d), (20, 20, 10), rerank=False).select("query_id", "doc_id", "score", "rank")
+
+
+def rank_fusion(s, d):
+    """Ranks by vectors and by the terms of titles, fused."""
+    dense = retrieval.dense_top_k(_vectors(s, d), _vector_queries(s, d), 20)
+    terms = retrieval.top_k(_bm25_all(s, d), "query_id", "doc_id", "score", 20)
+    both = dense.select(F.lit("dense").alias("ranker"), "query_id", "doc_id", "rank").unionByName(terms.select(F.lit("terms").alias("ranker"), "query_id", "doc_id", "rank"))
+    return retrieval.top_k(retrieval.reciprocal_rank_fusion(both), "query_id", "doc_id", "score", 10)
+
+
 def answered_titles(s, d):
     docs, asked = _texts(s, d), _asked(s, d)
     return answers.answers(answers.three_stage(docs, asked), docs, asked)
@@ -133,6 +146,6 @@ def nearby_lines(s, d):
 
 
 QUERIES = [
-    three_stage_top, three_stage_boosted, three_stage_filtered, answered_titles, title_questions, suggested_filters, context_ids, arc_entities, arc_dimensions, arc_times, arc_places, arc_gaps, arc_progression,
+    three_stage_top, three_stage_boosted, three_stage_filtered, hybrid_top, rank_fusion, answered_titles, title_questions, suggested_filters, context_ids, arc_entities, arc_dimensions, arc_times, arc_places, arc_gaps, arc_progression,
     time_ranges, efficiency_targets, overall_scores, batch_plans, dimension_entities, schema_statistics, fuzzy_categories, nearby_lines,
 ]

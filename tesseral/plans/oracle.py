@@ -109,8 +109,6 @@ SQL: dict[str, str] = {
     "post_filter_top": f"SELECT * FROM {_top(f'(SELECT t.query_id, t.doc_id, t.score FROM {_top(_DENSE, 30)} t JOIN {_V} v ON v.vec_id = t.doc_id WHERE v.label IN (1, 3, 5))', 10)}",
     "bm25_scores": f"SELECT * FROM {_BM25}",
     "bm25_top": f"SELECT * FROM {_top(f'(SELECT query_id, doc_id, round(score, 4) AS score FROM {_BM25})', 10)}",
-    "rank_fusion": f"WITH d AS (SELECT query_id, doc_id, rank FROM {_top(_DENSE, 20)}), l AS (SELECT query_id, doc_id, rank FROM {_top(f'(SELECT q.vec_id AS query_id, v.vec_id AS doc_id, -abs(v.vec_id - q.vec_id)::DOUBLE AS score FROM {_V} q JOIN {_V} v USING (label) WHERE q.vec_id % 20 = 0)', 20)}) SELECT * FROM {_top('(SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM l) GROUP BY ALL)', 10)}",
-    "hybrid_top": f"WITH d AS (SELECT query_id, doc_id, score AS d, (doc_id % 7)::DOUBLE AS s FROM {_top(_DENSE, 20)}), n AS (SELECT query_id, doc_id, CASE WHEN max(d) OVER w = min(d) OVER w THEN 1.0 ELSE (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) END AS d, CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS s FROM d WINDOW w AS (PARTITION BY query_id)) SELECT * FROM {_top('(SELECT query_id, doc_id, round(0.65 * d + (1 - 0.65) * s, 6) AS score FROM n)', 10)}",
     "boosted_top": f"SELECT * FROM {_top(f'(SELECT t.query_id, t.doc_id, round(t.score + CASE WHEN v.label = 2 THEN 0.3 ELSE 0 END, 6) AS score FROM {_top(_DENSE, 30)} t JOIN {_V} v ON v.vec_id = t.doc_id)', 10)}",
     "nearby_places": f"SELECT place_id, other_id, km, {_DIR.format(d='deg')} AS direction, rank FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY km, other_id)::INT AS rank FROM (SELECT a.place_id, b.place_id AS other_id, round({_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 2) AS km, {_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS raw, {_DEG} AS deg FROM gazetteer a, gazetteer b WHERE a.place_id <> b.place_id) WHERE raw BETWEEN 0.1 AND 500) WHERE rank <= 10",
     "geocoded": f"WITH g AS (SELECT lower(place_name) AS name, min_by({{'a': latitude, 'o': longitude}}, place_id) AS g FROM gazetteer GROUP BY 1), m AS (SELECT DISTINCT mention_id, text, {_OK} AS ok, latitude, longitude FROM mentions WHERE dimension_name = 'spatial' AND text IS NOT NULL) SELECT mention_id, CASE WHEN ok THEN latitude ELSE coalesce(f.g.a, c.g.a) END AS latitude, CASE WHEN ok THEN longitude ELSE coalesce(f.g.o, c.g.o) END AS longitude, CASE WHEN ok THEN 'own' WHEN f.g IS NOT NULL THEN 'name' WHEN c.g IS NOT NULL THEN 'city' ELSE 'none' END AS found FROM m LEFT JOIN g f ON f.name = lower(trim(text)) LEFT JOIN g c ON c.name = lower(trim(split_part(text, ',', 1)))",
@@ -122,7 +120,7 @@ SQL: dict[str, str] = {
     "qa_summary": f"SELECT *, exact_match >= 0.4 AND token_f1 >= 0.55 AND coverage >= 0.8 AS meets_targets FROM (SELECT count(*) AS questions, round(avg(exact_match), 4) AS exact_match, round(avg(f1), 4) AS token_f1, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(coverage), 4) AS coverage FROM {_F1})",
     "retrieval_rows": f"SELECT * FROM {_RETRIEVAL}",
     "retrieval_summary": "SELECT *, recall_10 >= 0.7 AND precision_10 >= 0.6 AND mrr >= 0.6 AS meets_targets FROM (SELECT count(*) AS queries, round(avg(reciprocal_rank), 4) AS mrr, " + ", ".join(f"round(avg({m}_{k}), 4) AS {m}_{k}" for k in (1, 5, 10, 20) for m in ("recall", "precision", "ndcg")) + f" FROM {_RETRIEVAL})",
-    "extraction_counts": "WITH m AS (SELECT document_id, dimension_name, lower(text) AS text, confidence FROM mentions WHERE text IS NOT NULL AND document_id IS NOT NULL), c AS (SELECT document_id, dimension_name, text, count(*) FILTER (confidence >= 0.8) AS p, count(*) AS t FROM m GROUP BY ALL), s AS (SELECT sum(least(p, t))::BIGINT AS tp, sum(p)::BIGINT AS p, sum(t)::BIGINT AS t FROM c) SELECT tp, p - tp AS fp, t - tp AS fn, round(tp::DOUBLE / p, 6) AS precision, round(tp::DOUBLE / t, 6) AS recall, round(2.0::DOUBLE * tp / (p + t), 6) AS f1 FROM s",
+    "extraction_counts": "WITH m AS (SELECT document_id, dimension_name, lower(text) AS text, confidence, normalized IS NOT NULL OR category IS NOT NULL AS sure FROM mentions WHERE text IS NOT NULL AND document_id IS NOT NULL), c AS (SELECT document_id, dimension_name, text, count(*) FILTER (confidence >= 0.8) AS p, count(*) FILTER (sure) AS t FROM m GROUP BY ALL), s AS (SELECT sum(least(p, t))::BIGINT AS tp, sum(p)::BIGINT AS p, sum(t)::BIGINT AS t FROM c) SELECT tp, p - tp AS fp, t - tp AS fn, round(tp::DOUBLE / p, 6) AS precision, round(tp::DOUBLE / t, 6) AS recall, round(2.0::DOUBLE * tp / (p + t), 6) AS f1 FROM s",
     "distance_accuracy": f"SELECT count(*) AS pairs, round(avg(km), 4) AS mean_km, round(quantile_cont(km, 0.5), 4) AS median_km, round(avg((km <= 25)::INT), 6) AS near, round(avg((km > 25 AND km <= 200)::INT), 6) AS middle, round(avg((km > 200)::INT), 6) AS far FROM ({_METERS})",
     "latency": "SELECT count(*) AS runs, round(quantile_cont(s * 1000, 0.5), 4) AS p50, round(quantile_cont(s * 1000, 0.95), 4) AS p95, round(quantile_cont(s * 1000, 0.99), 4) AS p99, round(avg(s * 1000), 4) AS mean, round(stddev_pop(s * 1000), 4) AS deviation, round(count(*) / sum(s), 6) AS chunks_a_second, round(sum(gpu_hours), 4) AS gpu_hours FROM (SELECT total_duration_seconds AS s, gpu_hours FROM timings WHERE total_duration_seconds IS NOT NULL)",
     "component_times": "WITH c AS (SELECT unnest(map_entries(components)) AS e FROM timings WHERE components IS NOT NULL), a AS (SELECT e.key AS component, '' AS part, e.value.duration_seconds AS s FROM c UNION ALL SELECT component, i.key, i.value FROM (SELECT e.key AS component, unnest(map_entries(e.value.components)) AS i FROM c WHERE e.value.components IS NOT NULL)) SELECT component, part, count(*) AS runs, round(sum(s), 4) AS total, round(avg(s), 6) AS mean, min(s) AS least, max(s) AS greatest FROM a WHERE s IS NOT NULL GROUP BY ALL",
