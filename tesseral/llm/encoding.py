@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,28 +52,39 @@ def read_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
 
 
 @lru_cache(1)
-def _other_classes() -> tuple[regex.Pattern | None, dict[int, str]]:
-    """Characters that the tokenizer's own engine puts in another class than this one's newer or older Unicode tables.
+def other_classes() -> tuple[tuple[int, int, str], ...]:
+    """Ranges of characters that the tokenizer's own engine puts in another class than this one's Unicode tables do.
 
-    Found by asking it for the letters and the numbers among all characters; each stands in for its class when cutting.
+    Found by asking it for the letters and the numbers among all characters; the sign stands in for a range's class
+    when cutting.  Found once by the driver, which sends them to the tasks.
     """
     import tiktoken
 
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
-    table: dict[int, str] = {}
     theirs, ours = {}, {}
     for c in "LN":
         probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{c}}}+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
         theirs[c], ours[c] = set(probe.decode(probe.encode_ordinary(every))), set(regex.findall(rf"\p{{{c}}}", every))
-    for x in (theirs["L"] ^ ours["L"]) | (theirs["N"] ^ ours["N"]):
-        table[ord(x)] = "x" if x in theirs["L"] else "0" if x in theirs["N"] else "."
-    return (regex.compile("[" + "".join(map(regex.escape, map(chr, sorted(table)))) + "]") if table else None), table
+    out: list[tuple[int, int, str]] = []
+    for x in sorted((theirs["L"] ^ ours["L"]) | (theirs["N"] ^ ours["N"])):
+        sign = "x" if x in theirs["L"] else "0" if x in theirs["N"] else "."
+        if out and out[-1][1] == ord(x) - 1 and out[-1][2] == sign:
+            out[-1] = (out[-1][0], ord(x), sign)
+        else:
+            out.append((ord(x), ord(x), sign))
+    return tuple(out)
 
 
-def pre_tokens(text: str) -> list[str]:
+@lru_cache(2)
+def _substitutes(ranges: tuple[tuple[int, int, str], ...]) -> tuple[re.Pattern | None, dict[int, str]]:
+    odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b, _ in ranges)
+    return (re.compile(f"[{odd}]") if odd else None), {i: sign for a, b, sign in ranges for i in range(a, b + 1)}
+
+
+def pre_tokens(text: str, ranges: tuple[tuple[int, int, str], ...] | None = None) -> list[str]:
     """The pieces that the tokenizer encodes by themselves, cut where its own pre-tokeniser cuts."""
     if not text.isascii():
-        odd, table = _other_classes()
+        odd, table = _substitutes(other_classes() if ranges is None else ranges)
         if odd is not None and odd.search(text):
             out, at = [], 0
             for p in _SPLIT.findall(text.translate(table)):
@@ -82,10 +94,10 @@ def pre_tokens(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
 
-def encode_chunk(enc, text: str, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_chunk(enc, text: str, cache: dict[str, list[int]], ranges: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the pre-tokens, the place of each one's first id, and the ids."""
     starts, first, ids, at = [], [], [], 0
-    for p in pre_tokens(text):
+    for p in pre_tokens(text, ranges):
         got = cache.get(p)
         if got is None:
             got = enc.encode_ordinary(p)
@@ -98,7 +110,7 @@ def encode_chunk(enc, text: str, cache: dict[str, list[int]]) -> tuple[np.ndarra
     return np.asarray(starts, np.int64), np.asarray(first, np.int64), np.asarray(ids, np.int32)
 
 
-def stitch(enc, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], step: int) -> list[int]:
+def stitch(enc, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], step: int, ranges: tuple | None = None) -> list[int]:
     """The ids of a text from its chunks (text, starts, first, ids), the i-th beginning at i * step."""
     out: list[np.ndarray] = []
     base, (text, starts, first, ids), begin = 0, chunks[0], 0  # begin: start within the current chunk that is settled
@@ -120,7 +132,7 @@ def stitch(enc, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], st
                 more.append(chunks[j][0][end - j * step :])
                 end = j * step + len(chunks[j][0])
             base, begin, text = base + begin, 0, "".join(more)
-            starts, first, ids = encode_chunk(enc, text, {})
+            starts, first, ids = encode_chunk(enc, text, {}, ranges)
             i, grow = i + grow, grow * 2
     a = np.searchsorted(starts, begin)
     out.append(ids[(first[a] if a < len(first) else len(ids)) :])
@@ -138,7 +150,7 @@ def _encode_short(vocabulary: Broadcast, key: str, text: str, what):
 
 def _encode(docs: DataFrame, key: str, text: str, path: str, chunk: int, overlap: int, what, kind: str) -> DataFrame:
     spark = docs.sparkSession
-    vocabulary = read_vocabulary(spark, path)
+    vocabulary, classes = read_vocabulary(spark, path), other_classes()  # some hundred ranges
     rows, size = docs.select(key, text), F.coalesce(F.char_length(F.col(text)), F.lit(0))
     key_type = rows.schema[key].dataType.simpleString()
     short = rows.where(size <= chunk + overlap).mapInPandas(_encode_short(vocabulary, key, text, what), f"`{key}` {key_type}, out {kind}")
@@ -151,12 +163,12 @@ def _encode(docs: DataFrame, key: str, text: str, path: str, chunk: int, overlap
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, cache = encoder(vocabulary.value), {}
         for b in batches:
-            done = [encode_chunk(enc, t, cache) for t in b["__t"]]
+            done = [encode_chunk(enc, t, cache, classes) for t in b["__t"]]
             yield b.assign(starts=[d[0] for d in done], first=[d[1] for d in done], ids=[d[2] for d in done])
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("__i")
-        ids = stitch(encoder(vocabulary.value), list(zip(b["__t"], b["starts"], b["first"], b["ids"])), chunk)
+        ids = stitch(encoder(vocabulary.value), list(zip(b["__t"], b["starts"], b["first"], b["ids"])), chunk, classes)
         return pd.DataFrame({key: [b[key].iloc[0]], "out": [what(ids)]})
 
     encoded = pieces.mapInPandas(encode, f"`{key}` {key_type}, __row long, __i int, __t string, starts array<long>, first array<long>, ids array<int>")

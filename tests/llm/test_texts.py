@@ -161,7 +161,7 @@ def test_unbroken_run_is_joined_once():
     parts = [text[i * step : i * step + step + overlap] for i in range((len(text) - 1 - overlap) // step + 1)]
     seen, plain = [], encoding.encode_chunk
     chunks = [(p, *plain(enc, p, {})) for p in parts]
-    encoding.encode_chunk = lambda e, t, c: (seen.append(len(t)), plain(e, t, c))[1]
+    encoding.encode_chunk = lambda e, t, c, r=None: (seen.append(len(t)), plain(e, t, c, r))[1]
     try:
         assert encoding.stitch(enc, chunks, step) == enc.encode_ordinary(text)
     finally:
