@@ -231,8 +231,8 @@ def _title_queries(s, d):
     return table(s, d, "documents", "doc_id", "title").where("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").cast("long").alias("query_id"), F.col("title").alias("query"))
 
 
-def _bm25_all(s, d):
-    return retrieval.bm25(table(s, d, "documents", "doc_id", "text"), _title_queries(s, d))
+def _bm25_all(s, d, best=None):
+    return retrieval.bm25(table(s, d, "documents", "doc_id", "text"), _title_queries(s, d), best=best)
 
 
 def bm25_scores_all(s, d):
@@ -241,7 +241,7 @@ def bm25_scores_all(s, d):
 
 
 def bm25_top_all(s, d):
-    return retrieval.top_k(_bm25_all(s, d).withColumn("score", F.round("score", 4)), "query_id", "doc_id", "score", 10)
+    return retrieval.top_k(_bm25_all(s, d, 10).withColumn("score", F.round("score", 4)), "query_id", "doc_id", "score", 10)
 
 
 def bm25_scores(s, d):
