@@ -42,7 +42,7 @@ def hybrid_top(s, d):
 def rank_fusion(s, d):
     """Ranks by vectors and by the terms of titles, fused."""
     dense = retrieval.dense_top_k(_vectors(s, d), _vector_queries(s, d), 20)
-    terms = retrieval.top_k(_bm25_all(s, d), "query_id", "doc_id", "score", 20)
+    terms = retrieval.top_k(_bm25_all(s, d, 20), "query_id", "doc_id", "score", 20)
     both = dense.select(F.lit("dense").alias("ranker"), "query_id", "doc_id", "rank").unionByName(terms.select(F.lit("terms").alias("ranker"), "query_id", "doc_id", "rank"))
     return retrieval.top_k(retrieval.reciprocal_rank_fusion(both), "query_id", "doc_id", "score", 10)
 
