@@ -187,8 +187,7 @@ def story_edges(s, d):
 
 
 def story_arcs(s, d):
-    m = mentions(s, d)
-    return clusters.story_arcs(clusters.story_edges(m), m).drop("component")
+    return clusters.story_arcs_of(mentions(s, d)).drop("component")
 
 
 def _vectors(s, d):
