@@ -257,8 +257,7 @@ def boosted_top(s, d):
 
 
 def packed_context(s, d):
-    top = bm25_top_all(s, d)
-    return retrieval.pack_context(top.join(table(s, d, "documents", "doc_id", "text"), "doc_id"))
+    return retrieval.pack_found(bm25_top_all(s, d), table(s, d, "documents", "doc_id", "text"))
 
 
 def multi_hop(s, d):
