@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.functions.strings import fold, osa, unleet
-from tesseral.operators.lookup import join_back
+from tesseral.operators.lookup import join_back, shuffled
 from tesseral.session import materialise
 
 MAX_SQUARINGS = 20  # chains of a million variants
@@ -133,7 +133,7 @@ def token_classes(forms: DataFrame) -> DataFrame:
 
     g = vocabulary.mapInPandas(of_tokens, "kind string, w string, df long, anchor boolean, g string, at int")
     rarity = g.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("gdf"))
-    g = g.join(rarity, ["kind", "g"]).groupBy("kind", "w", "df", "anchor").agg(F.slice(F.array_sort(F.collect_list(F.struct("gdf", "g", "at"))), 1, PREFIX).alias("p"))
+    g = g.join(shuffled(rarity), ["kind", "g"]).groupBy("kind", "w", "df", "anchor").agg(F.slice(F.array_sort(F.collect_list(F.struct("gdf", "g", "at"))), 1, PREFIX).alias("p"))
     prefix = g.select("kind", "w", "df", "anchor", F.explode("p").alias("p")).select("kind", "w", "df", "anchor", "p.g", "p.at")
     # one edit moves what is behind it by the difference of lengths, and what is before it not at all: length and
     # place are part of the key, so a gram that many tokens share isn't one group
@@ -145,7 +145,7 @@ def token_classes(forms: DataFrame) -> DataFrame:
     weak, rank = F.col("a.df") <= 2, lambda x: F.struct(F.col(f"{x}.df"), F.col(f"{x}.w"))
     may = ~F.col("a.anchor") & ((F.col("b.anchor") & (F.col("b.df") >= F.col("a.df"))) | (F.col("b.df") >= 3 * F.col("a.df")) | (weak & (rank("b") > rank("a"))))
     on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.w") != F.col("b.w")) & may & (F.length("b.w") >= LEAST_TARGET)
-    pairs = a.join(b, on).select(F.col("a.kind").alias("kind"), F.col("a.w").alias("w"), F.col("b.w").alias("other"), F.col("b.df").alias("odf"), F.col("b.anchor").alias("oa"))
+    pairs = a.join(shuffled(b), on).select(F.col("a.kind").alias("kind"), F.col("a.w").alias("w"), F.col("b.w").alias("other"), F.col("b.df").alias("odf"), F.col("b.anchor").alias("oa"))
     # a swap is two plain edits: what lies beyond two is dropped in the JVM, before pairs are made distinct
     pairs = pairs.where(F.levenshtein("w", "other", 2) >= 0).distinct()
 
@@ -155,17 +155,17 @@ def token_classes(forms: DataFrame) -> DataFrame:
 
     close = pairs.mapInPandas(verify, "kind string, w string, other string, odf long, oa boolean")
     to = close.groupBy("kind", "w").agg(F.max(F.struct("oa", "odf", "other")).alias("m")).select("kind", "w", F.col("m.other").alias("to"))
-    link = materialise(vocabulary.join(to, ["kind", "w"], "left").select("kind", "w", "df", F.coalesce("to", "w").alias("to")), "links")
+    link = materialise(vocabulary.join(shuffled(to), ["kind", "w"], "left").select("kind", "w", "df", F.coalesce("to", "w").alias("to")), "links")
     for _ in range(MAX_SQUARINGS):  # a variant's variant: links lead to ever more frequent tokens, so chains end
         step = link.select("kind", F.col("w").alias("to"), F.col("to").alias("far"))
-        far = materialise(link.join(step, ["kind", "to"]).select("kind", "w", "df", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "links")
+        far = materialise(link.join(shuffled(step), ["kind", "to"]).select("kind", "w", "df", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "links")
         link = far.select("kind", "w", "df", "to")
         if not far.where("moved").take(1):
             break
     else:
         raise RuntimeError("links between variants do not end")
     soft = link.groupBy("kind", "to").agg(F.sum("df").alias("soft"))
-    return link.join(soft, ["kind", "to"]).select("kind", "w", F.col("to").alias("class"), "soft")
+    return link.join(shuffled(soft), ["kind", "to"]).select("kind", "w", F.col("to").alias("class"), "soft")
 
 
 def _describe(total: dict[str, int], met: dict[str, int]):
@@ -222,11 +222,11 @@ def _persons(d: DataFrame) -> DataFrame:
     sure = d.where(F.size("options") == 1).select("form", "key", F.col("options")[0].alias("given"))
     strong = sure.select("key", "given").distinct()
     multi = d.where(F.size("options") > 1).select("form", "key", "options", F.explode("options").alias("given"))
-    fits = multi.join(strong, ["key", "given"]).groupBy("form").agg(F.countDistinct("given").alias("k"), F.min("given").alias("given"))
-    several = d.where(F.size("options") > 1).select("form", "key", F.col("options")[0].alias("first")).join(fits, "form", "left").where("k is null or k = 1").select("form", "key", F.coalesce("given", "first").alias("given"))
+    fits = multi.join(shuffled(strong), ["key", "given"]).groupBy("form").agg(F.countDistinct("given").alias("k"), F.min("given").alias("given"))
+    several = d.where(F.size("options") > 1).select("form", "key", F.col("options")[0].alias("first")).join(shuffled(fits), "form", "left").where("k is null or k = 1").select("form", "key", F.coalesce("given", "first").alias("given"))
     names = strong.unionByName(several.select("key", "given")).distinct()
     by_initial = names.groupBy("key", F.substring("given", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("k"), F.min("given").alias("given"))
-    short = d.where((F.size("options") == 0) & (F.col("initial") != "")).select("form", "key", "initial").join(by_initial, ["key", "initial"], "left")
+    short = d.where((F.size("options") == 0) & (F.col("initial") != "")).select("form", "key", "initial").join(shuffled(by_initial), ["key", "initial"], "left")
     short = short.where("k is null or k = 1").select("form", "key", F.coalesce("given", F.concat("initial", F.lit("."))).alias("given"))
     alone = d.where((F.size("options") == 0) & (F.col("initial") == "")).select("form", "key", F.lit("").alias("given"))
     return sure.unionByName(several).unionByName(short).unionByName(alone).select("form", F.concat_ws("|", F.lit("person"), "key", "given").alias("entity"))
@@ -241,7 +241,7 @@ def _bodies(d: DataFrame) -> DataFrame:
     pattern = F.concat_ws(" ", F.array_remove("options", F.col("w")))
     patterns = worded.select(pattern.alias("pattern"), F.substring("w", 1, 1).alias("initial"), "sig", "forms")
     best = patterns.groupBy("pattern", "initial").agg(F.max(F.struct("forms", "sig")).alias("m")).select("pattern", "initial", F.col("m.sig").alias("full"))
-    short = d.where("initial <> ''").select("form", "key", "initial", F.col("sig").alias("pattern")).join(best, ["pattern", "initial"], "left")
+    short = d.where("initial <> ''").select("form", "key", "initial", F.col("sig").alias("pattern")).join(shuffled(best), ["pattern", "initial"], "left")
     short = short.select("form", "key", F.coalesce("full", F.concat_ws(" ", "pattern", "initial")).alias("sig"))
     return full.select("form", "key", "sig").unionByName(short).select("form", F.concat_ws("|", F.lit("organization"), "key", "sig").alias("entity"))
 
@@ -255,8 +255,8 @@ def name_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = {r["kind"]: r["n"] for r in forms.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row for each kind
     # at most one row for each name of the fixed list
     met = {r["class"]: r["soft"] for r in classes.where(F.col("class").isin(*sorted({f for o in FORMAL.values() for f in o})) & (F.col("kind") == "person")).select("class", "soft").distinct().collect()}
-    parts = forms.select("form", "kind", F.posexplode("words").alias("at", "w")).join(classes, ["kind", "w"]).groupBy("form", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "class", "soft"))).alias("parts"))
-    parts = parts.join(forms.select("form", "initials"), "form").select("form", "kind", "initials", "parts")
+    parts = forms.select("form", "kind", F.posexplode("words").alias("at", "w")).join(shuffled(classes), ["kind", "w"]).groupBy("form", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "class", "soft"))).alias("parts"))
+    parts = parts.join(shuffled(forms.select("form", "initials")), "form").select("form", "kind", "initials", "parts")
     described = materialise(parts.mapInPandas(_describe(total, met), DESCRIBED), "described")
     return forms, _persons(described).unionByName(_bodies(described))
 
@@ -267,9 +267,9 @@ def name_members(mentions: DataFrame) -> DataFrame:
     Nothing is expanded into pairs: the links of a mention are the entity's mentions less those of its own text.
     """
     forms, entities = name_entities(mentions)
-    known = materialise(entities.join(forms.select("kind", "text", "form", "n"), "form"), "members")
+    known = materialise(entities.join(shuffled(forms.select("kind", "text", "form", "n")), "form"), "members")
     total = known.groupBy("entity").agg(F.sum("n").alias("all"))
-    sized = known.join(total, "entity").select("kind", "text", "entity", (F.col("all") - F.col("n")).alias("links"), "n")
+    sized = known.join(shuffled(total), "entity").select("kind", "text", "entity", (F.col("all") - F.col("n")).alias("links"), "n")
     rows = mentions.where("text is not null").select("id", "kind", "text").distinct()
     return join_back(rows, materialise(sized, "sized"), ["kind", "text"], ["entity", "links"]).select(F.col("id").alias("mention_id"), "entity", "links")
 
@@ -282,16 +282,16 @@ def linked_pairs(mentions: DataFrame, hot: int = HOT_FORM) -> DataFrame:
     """
     forms, entities = name_entities(mentions)
     buckets = forms.select("form", F.ceil(F.col("n") / hot).cast("int").alias("k"))
-    entities = materialise(entities.join(buckets, "form"), "entities")
+    entities = materialise(entities.join(shuffled(buckets), "form"), "entities")
     a, b = entities.alias("a"), entities.alias("b")
-    pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.form") < F.col("b.form")))
+    pairs = a.join(shuffled(b), (F.col("a.entity") == F.col("b.entity")) & (F.col("a.form") < F.col("b.form")))
     split = lambda x, name: F.explode(F.sequence(F.lit(0), F.col(f"{x}.k") - 1)).alias(name)
     pairs = pairs.select(F.col("a.form").alias("fa"), F.col("b.form").alias("fb"), split("a", "sa"), F.col("b.k").alias("kb"))
     pairs = pairs.select("fa", "sa", "fb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("sb"))
     rows = mentions.where("text is not null").select("id", "kind", "text").distinct()
-    known = materialise(forms.join(buckets, "form").select("kind", "text", "form", "k", "n"), "numbered")
+    known = materialise(forms.join(shuffled(buckets), "form").select("kind", "text", "form", "k", "n"), "numbered")
     ids = join_back(rows, known, ["kind", "text"], ["form", "k"]).select("id", "form", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("s"))
     ids = materialise(ids, "ids")
-    out = pairs.join(ids.select(F.col("id").alias("x"), F.col("form").alias("fa"), F.col("s").alias("sa")), ["fa", "sa"])
-    out = out.join(ids.select(F.col("id").alias("y"), F.col("form").alias("fb"), F.col("s").alias("sb")), ["fb", "sb"])
+    out = pairs.join(shuffled(ids.select(F.col("id").alias("x"), F.col("form").alias("fa"), F.col("s").alias("sa"))), ["fa", "sa"])
+    out = out.join(shuffled(ids.select(F.col("id").alias("y"), F.col("form").alias("fb"), F.col("s").alias("sb"))), ["fb", "sb"])
     return out.select(F.least("x", "y").alias("mention_a"), F.greatest("x", "y").alias("mention_b")).where("mention_a < mention_b").distinct()
